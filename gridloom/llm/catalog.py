@@ -6,16 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.ann import nearest
+from gridloom.llm.langid import languages
 from gridloom.llm.neardup import near_duplicates
+from gridloom.llm.packing import packed
+from gridloom.llm.sharding import sharded
+from gridloom.llm.toxicity import toxicity
 from gridloom.llm.workspace import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_neardup": op7_neardup}
+    return {f.__name__: f for f in (op1_toxicity, op3_packing, op4_langid, op6_sharding, op7_neardup, op9_ann)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,9 @@ filters them, and the exact Jaccard similarity of the full shingle sets decides.
 Documents with equal shingle sets are one class from the start. Values are ordered by how many
 classes hold them, and a class enters only the lists of its rarest values: two sketches that share at
 least `need` values must meet in those (prefix filtering). The least overlap `need` is six standard
-deviations below what similarity 0.75 gives, so a true pair is missed with probability about 1e-9.
+deviations below what similarity 0.75 gives, so a true pair is missed with probability about 1e-9. That
+runs twice: short sketches leave the classes that can have a partner at all, and those get longer
+sketches, which decide more sharply.
 
 Lists aren't expanded into all pairs. First each member of a list meets the list's smallest member
 only; confirmed links make components. Pairs of later rounds are those between different components,
@@ -29,6 +31,7 @@ from gridloom.llm.textkit import mix, shingle_sets
 from gridloom.llm.workspace import stored
 
 K = 64
+K_LONG = 256
 WIDTH = 5
 #: Ids are broadcast to the scan of the texts up to this many (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -67,26 +70,34 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def prefix_lists(classes: DataFrame, similarity: float, k: int) -> DataFrame:
-    """(v, doc_id, n): the lists that a class enters."""
+    """(v, doc_id, n, need, room): the lists that a class enters, the overlap that it needs, and the most it
+    can still reach from this value on, in the common order of values."""
     least = max(1, math.ceil(k * _floor(similarity, k)))
     posts = _postings(classes)
     shared = posts.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     met = posts.join(shared, "v")
     by = Window.partitionBy("doc_id")
-    need = F.least(F.lit(least), F.ceil(F.col("n") * similarity))
     kept = F.least(F.col("n"), F.lit(k))
-    met = met.withColumn("met", F.count("*").over(by)).filter(F.col("met") >= need)
-    met = met.withColumn("at", F.row_number().over(by.orderBy("df", "v")) + kept - F.col("met"))
-    return met.filter(F.col("at") <= kept - need + 1).select("v", "doc_id", "n")
+    met = met.withColumn("need", F.least(F.lit(least), F.ceil(F.col("n") * similarity)))
+    met = met.withColumn("met", F.count("*").over(by)).filter("met >= need")
+    met = met.withColumn("room", F.col("met") - F.row_number().over(by.orderBy("df", "v")) + 1)
+    return met.filter("room >= need").select("v", "doc_id", "n", "need", "room")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows with these ids."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float, k: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch doesn't rule the similarity out, with the estimate."""
+    """Pairs (a, b) whose union sketch doesn't rule the similarity out, with the estimate; sketches that
+    hold both whole sets give it exactly."""
     low = max(0.0, _floor(similarity, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            est = []
+            est, ok = [], []
             for na, x, nb, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 union = np.union1d(x, y)
@@ -94,8 +105,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, similarity: float, k: int) ->
                 size = min(k, len(union)) if max(na, nb) > k else len(union)
                 bound = union[size - 1]
                 est.append(float((common <= bound).sum()) / size)
-            e = np.array(est)
-            ok = pa.array(e >= low)
+                ok.append(est[-1] >= (low if max(na, nb) > k else similarity - 1e-9))
+            e, ok = np.array(est, float), pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(e).filter(ok)], names=["a", "b", "est"])
 
     left = classes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sk").alias("ka"))
@@ -107,10 +118,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -
     """Pairs (a, b) whose full shingle sets have the similarity; compared as integers of a percent."""
     percent = round(100 * similarity)
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = stored(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = stored(_only(docs, ids), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,30 +144,35 @@ def _labelled(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
         return lists.withColumn("c", F.col("doc_id"))
     named = lists.join(comp.select(F.col("u").alias("doc_id"), F.col("v").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     mixed = named.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
-    return named.join(mixed, "v").select("v", "doc_id", "n", "c")
+    return named.join(mixed, "v").select("v", "doc_id", "n", "need", "room", "c")
 
 
-def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K, width: int = WIDTH, stars: int = 2) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K, long: int = K_LONG, width: int = WIDTH, stars: int = 2) -> tuple[DataFrame, DataFrame]:
     """Components over the classes, and the classes: (u, v) as `components` gives, (doc_id, rep)."""
     full = made.filter("n > 0 and doc_id is not null")
     member = stored(full.select("doc_id", "d1", "d2", "n").join(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), ["d1", "d2", "n"]).select("doc_id", "rep"), "classes")
     classes = full.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lists = stored(prefix_lists(classes, similarity, k), "lists")
+    able = stored(prefix_lists(classes, similarity, k).select("doc_id").distinct(), "able")
+    classes = stored(sketches(_only(docs, able), long, width), "longer")
+    lists = stored(prefix_lists(classes, similarity, long), "lists")
     extra = member.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    exact = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
+    overlap = F.when(F.greatest("na", "nb") <= long, exact).otherwise(F.greatest("need_a", "need_b"))
+    meet = _alike("na", "nb", similarity) & (F.col("ca") != F.col("cb")) & (F.least("room_a", "room_b") >= overlap)
     edges, comp = None, None
     for turn in range(stars + 1):
         named = stored(_labelled(lists, comp), "named")
+        y = named.select("v", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"), F.col("room").alias("room_b"), F.col("c").alias("cb"))
         if turn < stars:
-            order = F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))).alias("first"), "doc_id", "n", "c")
-            head = named.groupBy("v").agg(F.min(order).alias("h")).select("v", F.col("h.doc_id").alias("a"), F.col("h.n").alias("na"), F.col("h.c").alias("ca"))
-            pairs = named.join(head, "v").filter(F.col("c") != F.col("ca")).filter(_alike("n", "na", similarity)).select("a", F.col("doc_id").alias("b")).distinct()
-            found = stored(_likely(pairs, classes, similarity, k), "likely")
-            found = found.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
+            order = F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("c", "doc_id", F.lit(turn))).alias("first"), "doc_id", "n", "need", "room", "c")
+            x = named.groupBy("v").agg(F.min(order).alias("h")).select("v", "h.*").drop("first")
         else:
-            x = named.select("v", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            y = named.select("v", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = x.join(y, "v").filter("a < b and ca <> cb").filter(_alike("na", "nb", similarity)).select("a", "b").distinct()
-            found = stored(_likely(pairs, classes, similarity, k), "likely")
+            x = named
+        x = x.select("v", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("need").alias("need_a"), F.col("room").alias("room_a"), F.col("c").alias("ca"))
+        pairs = x.join(y, "v").filter(meet if turn < stars else meet & F.expr("a < b")).select("a", "b").distinct()
+        found = stored(_likely(pairs, classes, similarity, long), "likely")
+        if turn < stars:
+            found = found.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
         sure = stored(verified(found, docs, similarity, width), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = sure if edges is None else edges.union(sure)
         if turn < stars:
@@ -167,14 +180,14 @@ def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K
     return components(edges.union(extra)), member
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.75, k: int = K, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.75, k: int = K, long: int = K_LONG, width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are maximal runs without white space, after lower-casing A-Z. Null, empty and blank
     texts have no shingles and are linked with nothing. Rows with equal doc_id are one document, whose links
     are pooled. Rows with a null doc_id are returned with a null component and kept."""
     made = stored(sketches(docs, k, width), "sketches")
-    comp, _ = links(docs, made, similarity, k, width)
+    comp, _ = links(docs, made, similarity, k, long, width)
     out = made.select("doc_id", F.col("n").alias("n_shingles")).join(comp.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.ann import nearest
+from gridloom.llm.decontam import contamination
 from gridloom.llm.langid import languages
 from gridloom.llm.neardup import near_duplicates
 from gridloom.llm.packing import packed
+from gridloom.llm.repeats import without_repeats
+from gridloom.llm.secrets import digest
 from gridloom.llm.sharding import sharded
 from gridloom.llm.toxicity import toxicity
 from gridloom.llm.workspace import table
@@ -19,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -35,12 +42,20 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_packing, op4_langid, op6_sharding, op7_neardup, op9_ann)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_packing, op4_langid, op6_sharding, op7_neardup, op8_decontam, op9_ann, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,7 +33,7 @@ NOT_SPACE = ~byte_set([(0x20, 0x20), (0x09, 0x0D)])
 WORD_BYTES = byte_set([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
     out = []
@@ -46,7 +46,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**k and its inverse modulo 2**64 for k below n (at least)."""
-    return _powers(1 << max(CHUNK.bit_length(), int(n).bit_length()))
+    return _powers(1 << max(18, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,10 +35,10 @@ def bucket(z: Column, most: int = 23) -> Column:
 
 def wrap(v: Column) -> Column:
     """A decimal brought into 64 bits, modulo 2**64."""
-    m = F.lit(1 << 64).cast("decimal(38,0)")
+    m = F.lit(Decimal(1 << 64)).cast("decimal(38,0)")
     r = v - F.floor(v / m).cast("decimal(38,0)") * m
     r = F.when(r < 0, r + m).when(r >= m, r - m).otherwise(r)
-    return F.when(r >= F.lit(1 << 63).cast("decimal(38,0)"), r - m).otherwise(r).cast(LONG)
+    return F.when(r >= F.lit(Decimal(1 << 63)).cast("decimal(38,0)"), r - m).otherwise(r).cast(LONG)
 
 
 def wsub(a: Column, b: Column) -> Column:

@@ -23,14 +23,14 @@ def with_views(sql: str, *names: str) -> str:
     """sql (SELECT ... or name AS (...), ... SELECT ...) after the views that it reads."""
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     body = sql.strip()
-    return f"WITH {ctes}{' ' if body.upper().startswith('SELECT') else ', '}{body}"
+    return f"WITH {ctes}{' ' if body.upper().startswith('SELECT') else ', ' if ctes else ''}{body}"
 
 
 def query(sql: str | None = None, views: tuple[str, ...] = ()):
     def put(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
+            ORACLES[f.__name__] = with_views(sql, *views) if views or not sql.upper().startswith("SELECT") else sql
         return f
 
     return put

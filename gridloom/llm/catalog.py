@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.ann import nearest
 from gridloom.llm.decontam import contamination
 from gridloom.llm.langid import languages
+from gridloom.llm.licenses import licensed
 from gridloom.llm.neardup import near_duplicates
 from gridloom.llm.packing import packed
 from gridloom.llm.repeats import without_repeats
@@ -34,6 +35,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensed(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_packing, op4_langid, op6_sharding, op7_neardup, op8_decontam, op9_ann, op10_repeats)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_packing, op4_langid, op5_licenses, op6_sharding, op7_neardup, op8_decontam, op9_ann, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:

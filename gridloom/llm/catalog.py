@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm import oracles
 from gridloom.llm.ann import nearest
 from gridloom.llm.decontam import contamination
 from gridloom.llm.langid import languages
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secrets": oracles.secret_spans(), "op5_licenses": oracles.license_notices(), "op7_neardup": oracles.near_duplicates(), "op8_decontam": oracles.decontamination()}

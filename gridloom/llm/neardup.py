@@ -31,7 +31,7 @@ from gridloom.llm.textkit import mix, shingle_sets
 from gridloom.llm.workspace import stored
 
 K = 64
-K_LONG = 256
+K_LONG = 1024
 WIDTH = 5
 #: Ids are broadcast to the scan of the texts up to this many (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -157,7 +157,9 @@ def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K
     lists = stored(prefix_lists(classes, similarity, long), "lists")
     extra = member.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     exact = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
-    overlap = F.when(F.greatest("na", "nb") <= long, exact).otherwise(F.greatest("need_a", "need_b"))
+    # of the values that both hold, the longer sketch is expected to show this many; six deviations less is safe
+    shown = F.floor(similarity / (1 + similarity) * (1 + F.least("na", "nb") / F.greatest("na", "nb")) * long - 6 * math.sqrt(long * similarity * (1 - similarity)))
+    overlap = F.when(F.greatest("na", "nb") <= long, exact).otherwise(F.greatest("need_a", "need_b", shown))
     meet = _alike("na", "nb", similarity) & (F.col("ca") != F.col("cb")) & (F.least("room_a", "room_b") >= overlap)
     edges, comp = None, None
     for turn in range(stars + 1):

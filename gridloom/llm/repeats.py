@@ -182,8 +182,8 @@ def _some(df: DataFrame) -> DataFrame:
 def removals(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(h1, h2, lo, hi): runs of starts of repeated strings in each distinct text."""
     found = stored(_anchors(keyed, length, gram), "anchors")
-    again = stored(found.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "again")
-    found = stored(found.join(_some(again), "g", "left_semi"), "repeated")
+    again = found.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
+    found = stored(found.join(again, "g", "left_semi"), "repeated")
     kinds = stored(found.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "lo", "hi", "p")).alias("x")).select("g", "s", "c", "x.*"), "contexts")
     many = kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1")
     open_ = kinds.join(many, "g")

@@ -89,7 +89,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
     uses = script >= 0.01 * np.maximum(script.sum(0), 1)
     m = Model(names, odds.astype(np.float32), uses, int(amount.argmax()) if names else 0)
     right = np.zeros(len(LEADS))
-    for row, off, data in chunks(pa.array(texts, pa.large_string()), 6 << 20) if names else ():
+    for row, off, data in chunks(pa.array(texts, pa.large_string()), 2 << 20) if names else ():
         ids, first, s, start, end = _features(off, data)
         if len(ids):
             size, opening, _, _ = _amounts(m, viterbi(_scores(m, ids, s), first), first, end - start)
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
             score = np.zeros(len(ok))
             marks: list[pa.Array] = []
             counts = np.zeros(len(ok), np.int64)
-            for row, off, data in chunks(b.column(at), 6 << 20) if m.languages else ():
+            for row, off, data in chunks(b.column(at), 2 << 20) if m.languages else ():
                 ids, first, script, start, end = _features(off, data)
                 if not len(ids):
                     continue

@@ -51,7 +51,7 @@ def wadd(a: Column, b: Column) -> Column:
 
 def floor_div(a: Column, b: Column | int) -> Column:
     b = _c(b).cast(LONG)
-    return F.try_divide(a - F.pmod(a, b), b).cast(LONG)
+    return F.call_function("div", a - F.pmod(a, b), b).cast(LONG)
 
 
 def round_div(a: Column, b: Column | int) -> Column:

@@ -6,8 +6,8 @@ and a template with an equal band value are candidates. A notice of up to 7 word
 window, which then has a similarity of 1/8 at least: it is missed with probability (7/8)**64 < 0.0002; longer ones less.
 Candidates are verified by the exact share of the template's shingles that the text contains.
 
-A window without a shingle of a template can't become a candidate, so only texts with one of a set of words
-that hits every template shingle are hashed. Only DataFrame functions are used.
+A window without a shingle of a template can't become a candidate, so MinHash values are taken only of texts that
+have one. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WINDOW = 12
 STRIDE = 6
 BANDS = 64
 CONTAINMENT = 0.75
+#: Shingles of all templates are compared as literals up to this many.
+MOST_LITERALS = 5_000
 
 #: Notices to look for (fixed values: customary wording of public licenses).
 TEMPLATES = {
@@ -43,46 +45,47 @@ TEMPLATES = {
 }
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once: as a lambda's variable it isn't copied into inner lambdas, where the
+    optimiser would have it computed again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingle_strings(w: Column, width: int = WIDTH) -> Column:
     """Distinct shingles of a word array; fewer words than width are one shingle, no words none."""
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, width), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
 
+    def of(ws: Column) -> Column:
+        n = F.size(ws)
+        many = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.array_join(F.slice(ws, i + 1, width), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    return bound(w, of)
+
+
+def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
+    """A hash for each shingle of a word array, in order; places past the end don't count."""
+    return bound(w, lambda ws: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(width)])))
 
-def _bands(w: Column, stride: int, window: int = WINDOW, width: int = WIDTH, bands: int = BANDS) -> Column:
-    """Distinct band values of the windows of a word array with words."""
-    n = F.size(w)
-    last = F.greatest(n - width, F.lit(0))
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, width), " ")))
+
+def _bands(hashes: Column, stride: int, window: int = WINDOW, width: int = WIDTH, bands: int = BANDS) -> Column:
+    """Distinct band values of the windows over shingle hashes, every `stride` words."""
     per = window - width + 1
 
-    def of_window(h: Column, at: Column) -> Column:
-        part = F.slice(h, at + 1, per)
+    def of_window(hs: Column, at: Column) -> Column:
+        part = F.slice(hs, at + 1, per)
         return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda f: F.xxhash64(f, F.array_min(F.transform(part, lambda x: F.xxhash64(x, f)))))
 
-    # let the hashes be computed once for all windows
-    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(last if stride > 1 else n - window, F.lit(0)), F.lit(stride)), lambda at: of_window(h, at))))))
+    def of_text(hs: Column) -> Column:
+        last = F.greatest(F.size(hs) - (1 if stride > 1 else per), F.lit(0))
+        return F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda at: of_window(hs, at)))
+
+    return F.array_distinct(bound(hashes, of_text))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
     return spark.createDataFrame(list((templates or TEMPLATES).items()), "name string, notice string")
 
 
-def _hitting(shingles: list[list[str]]) -> list[str]:
-    """Words such that every shingle has one: the word in most shingles not yet hit, longer ones first."""
-    left, out = [set(s.split(" ")) for ws in shingles for s in ws], []
-    while left:
-        count: dict[str, int] = {}
-        for s in left:
-            for x in s:
-                count[x] = count.get(x, 0) + (len(x) > 3)
-        best = max(count, key=lambda x: (count[x], len(x), x))
-        out.append(best)
-        left = [s for s in left if best not in s]
-    return out
-
-
 def license_matches(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT, most_templates: int = 10_000) -> DataFrame:
     """(doc_id, h, name, containment) of verified matches; h is a hash of the text. The template table is a
     parameter of bounded size: more than most_templates rows are an error."""
@@ -95,17 +98,20 @@ def license_matches(docs: DataFrame, templates: DataFrame, containment: float =
     none = spark.createDataFrame([], "doc_id long, h long, name string, containment double")
     if not rows:
         return none
-    marks = _hitting([r["shingles"] for r in rows])
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), words(text).alias("w"))
-    base = base.filter(F.arrays_overlap("w", F.array(*map(F.lit, marks))))
-    some = base.select("doc_id", "h", F.explode(_bands(F.col("w"), STRIDE)).alias("band"))
-    theirs = t.select("name", F.explode(_bands(F.col("w"), 1)).alias("band"))
+    t = t.withColumn("hashes", shingle_hashes(F.col("w")))
+    hashed = base.select("doc_id", "h", shingle_hashes(F.col("w")).alias("hashes"))
+    known = [r[0] for r in t.select(F.explode("hashes")).distinct().limit(MOST_LITERALS + 1).collect()]
+    if len(known) <= MOST_LITERALS:
+        hashed = hashed.filter(F.arrays_overlap("hashes", F.array(*map(F.lit, known))))
+    some = hashed.select("doc_id", "h", F.explode(_bands(F.col("hashes"), STRIDE)).alias("band"))
+    theirs = t.select("name", F.explode(_bands(F.col("hashes"), 1)).alias("band"))
     pairs = stored(some.join(F.broadcast(theirs) if theirs.count() <= BROADCAST_ROWS else theirs, "band").select("doc_id", "h", "name").distinct(), "candidates")
     met = pairs.groupBy("doc_id", "h").agg(F.collect_set("name").alias("names"))
     met = (F.broadcast(met) if met.count() <= BROADCAST_ROWS else met).alias("m")
-    full = base.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", shingle_strings(F.col("w")).alias("own")).alias("d")
-    both = full.join(met, (F.col("d.h") == F.col("m.h")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.doc_id", "d.h", "own", F.explode("names").alias("name"))
+    found = base.alias("d").join(met, (F.col("d.h") == F.col("m.h")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
+    both = found.select("d.doc_id", "d.h", shingle_strings(F.col("w")).alias("own"), "names").select("doc_id", "h", "own", F.explode("names").alias("name"))
     both = both.join(F.broadcast(t.select("name", "shingles")), "name")
     share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     return both.select("doc_id", "h", "name", share.alias("containment")).filter(F.col("containment") >= containment)

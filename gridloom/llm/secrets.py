@@ -78,18 +78,20 @@ def _suspicious(s: Column) -> Column:
     return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~plain & (F.round(peak_entropy(s), 9) >= kind)
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
+def secret_spans(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
     """docs with base and spans: arrays of struct<start, kind, end, value>, sorted; kind is an index of KINDS.
 
     base holds the pattern matches; spans adds runs of high entropy that no base span contains. A null
-    text counts as empty. Columns named base or spans are replaced."""
+    text counts as empty. Columns of these names are replaced."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.drop("base", "spans")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    rows = docs.drop(base, spans)
     assign = located(text, ASSIGN, 0, lambda whole, group: F.length(group) >= 8, 1)
-    rows = rows.withColumn("base", F.array_sort(F.concat(assign, located(text, ACCESS, 1), located(text, HEX, 2))))
-    rows = rows.withColumn("spans", F.when(text.rlike(CANDIDATE), F.filter(located(text, CANDIDATE, 3), lambda e: ~F.exists(F.col("base"), lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")))
-    rows = rows.withColumn("spans", F.when(F.size("spans") > 0, F.filter("spans", lambda e: _suspicious(e["value"]))).otherwise(F.col("spans")))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", "spans")))
+    rows = rows.withColumn(base, F.array_sort(F.concat(assign, located(text, ACCESS, 1), located(text, HEX, 2))))
+    inside = lambda e: F.exists(F.col(base), lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"]))
+    rows = rows.withColumn(spans, F.when(text.rlike(CANDIDATE), F.filter(located(text, CANDIDATE, 3), lambda e: ~inside(e))).otherwise(none))
+    rows = rows.withColumn(spans, F.when(F.size(spans) > 0, F.filter(spans, lambda e: _suspicious(e["value"]))).otherwise(F.col(spans)))
+    return rows.withColumn(spans, F.array_sort(F.concat(base, spans)))
 
 
 def listed(spans: Column) -> Column:
@@ -107,7 +109,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by mark (touching or overlapping spans by one); texts without
     spans and null texts stay as they are."""
-    found = secret_spans(docs)
+    found = secret_spans(docs, "secret_base_", "secret_spans_")
     text = F.col("text").cast("string")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -116,5 +118,5 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         new = F.when(s["start"] > acc["at"], F.concat(acc["out"], gap, F.lit(mark))).when((acc["at"] == 0) & (acc["out"] == ""), F.lit(mark)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
 
-    clean = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.length(text) - acc["at"], F.lit(0)))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).select(docs.columns)
+    clean = F.aggregate("secret_spans_", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.length(text) - acc["at"], F.lit(0)))))
+    return found.withColumn("text", F.when(F.size("secret_spans_") > 0, clean).otherwise(F.col("text"))).select(docs.columns)

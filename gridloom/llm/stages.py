@@ -23,7 +23,7 @@ def _without(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic. It learns from the labelled rows among docs."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
+    return toxicity(docs, table(spark, sf_dir, "labels"), "toxicity_").filter("toxicity_predicted = 0").select(docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def sketches(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 def _postings(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sk = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            sk = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
             rep = np.repeat(np.arange(len(sk)), [len(x) for x in sk])
             v = np.concatenate(sk) if sk else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(v), b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep))], names=["v", "doc_id", "n"])
@@ -98,8 +98,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, similarity: float, k: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             est, ok = [], []
-            for na, x, nb, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for na, x, nb, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 union = np.union1d(x, y)
                 common = np.intersect1d(x, y, assume_unique=True)
                 size = min(k, len(union)) if max(na, nb) > k else len(union)

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.textkit import release
+
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 128
 MAX_LOSS = 1024
@@ -124,8 +126,9 @@ def packed(docs: DataFrame, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMEN
                 text = text.as_py()
                 ids = enc.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
                 packer.add(key, np.append(ids, np.uint32(END_ID)).astype("<u4"))
-                if len(out) >= 4096:
+                if len(out) >= 1024:
                     yield flush()
+            release()
         packer.close()
         if out:
             yield flush()

@@ -6,6 +6,7 @@ All functions work on chunks of about CHUNK bytes, so memory stays bounded whate
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 GRAM = 0xC2B2AE3D27D4EB4F | 1
 
@@ -60,6 +61,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    return trim if trim is not None else lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept between tasks and share the executor's."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,6 +95,7 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, np.ndarra
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield i, off[i : j + 1] - off[i], raw[off[i] : off[j]]
         i = j
+    release()
 
 
 def words(off: np.ndarray, data: np.ndarray, keep: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

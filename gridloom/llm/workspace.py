@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a Python worker gets at once while a table is written: texts and sketches are wide.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs no more than the tasks that read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

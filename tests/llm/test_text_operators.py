@@ -255,8 +255,8 @@ def test_stages_keep_columns_and_handle_odd_rows(spark, sf_dir):
     for stage in (stages.clean, stages.deduplicated, stages.decontaminated, stages.without_secrets):
         for df in (docs, cases.empty(spark)):
             out = stage(spark, df, sf_dir)
-            assert out.columns == docs.columns
-            out.collect()
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert all(r.spans == "clash" or r.doc_id is None for r in out.collect())
     kept = stages.deduplicated(spark, docs, sf_dir).collect()
     want = cases.components(cases.documents())
     ids = sorted(r.doc_id for r in kept if r.doc_id is not None)

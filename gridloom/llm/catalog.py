@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import oracles
 from gridloom.llm.ann import nearest
-from gridloom.llm.decontam import contamination
+from gridloom.llm.decontam import NEAR, contamination
 from gridloom.llm.langid import languages
 from gridloom.llm.licenses import licensed
 from gridloom.llm.neardup import near_duplicates
@@ -52,6 +52,11 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op8_decontam_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_decontam with the proximity matches in further columns."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=NEAR).drop("h")
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -61,8 +66,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_packing, op4_langid, op5_licenses, op6_sharding, op7_neardup, op8_decontam, op9_ann, op10_repeats)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_packing, op4_langid, op5_licenses, op6_sharding, op7_neardup, op8_decontam, op8_decontam_near, op9_ann, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": oracles.secret_spans(), "op5_licenses": oracles.license_notices(), "op7_neardup": oracles.near_duplicates(), "op8_decontam": oracles.decontamination()}
+    return {"op2_secrets": oracles.secret_spans(), "op5_licenses": oracles.license_notices(), "op7_neardup": oracles.near_duplicates(), "op8_decontam": oracles.decontamination(), "op8_decontam_near": oracles.proximity()}

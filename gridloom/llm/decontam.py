@@ -1,10 +1,11 @@
 """Passages of a benchmark inside a corpus, by a positional inverted index.
 
 The index is a table of (term, document, position) for the benchmark's terms. For each window of 13
-item words the two rarest terms (by postings) are looked up; their offset-adjusted lists are
-intersected, which leaves few alignments of an item with a document. For those the lists of all
-the item's terms are intersected at the same offsets, and runs of agreeing words that hold a window are
-hits. Only DataFrame functions are used.
+item words the rarest terms (by postings) are looked up: two for whole windows, and one more for each word
+that may differ, so that two of them agree in every window that is searched for. Their offset-adjusted lists
+are intersected, which leaves few alignments of an item with a document. For those the lists of all
+the item's terms are intersected at the same offsets; runs of agreeing words that hold a window are
+hits, and windows of which at least 10 words agree are proximity matches. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = WIDTH, near: int = N
     """The agreeing words of documents with items: (doc_id, h, item_id, pos, exact, close), and the index.
 
     exact: the word lies in an occurrence of a window; close: in a stretch of `width` item words of
-    which at least `near` agree at the same offsets (found where the two rarest terms of some window do)."""
+    which at least `near` agree at the same offsets. An item of fewer words is one window, of which `near` or all agree."""
     items = _items(bench)
     terms = stored(items.select("word").distinct().withColumn("term_id", F.monotonically_increasing_id()).union(docs.sparkSession.createDataFrame([("", -1)], "word string, term_id long")), "terms")
     index = build_index(docs, _small(terms))
@@ -61,19 +62,15 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = WIDTH, near: int = N
     ahead = own.orderBy("ipos").rowsBetween(0, width - 1)
     rare = F.array_sort(F.collect_list(F.struct("df", "ipos", "term_id")).over(ahead))
     starts = known.withColumn("rare", rare).filter(F.col("ipos") <= F.greatest(F.col("size") - width, F.lit(0)))
-    starts = starts.filter(F.col("rare")[0]["df"] > 0)
-    second = F.when(F.size("rare") > 1, F.col("rare")[1]).otherwise(F.col("rare")[0])
-    anchors = stored(starts.select("item_id", "g", F.col("rare")[0]["term_id"].alias("t1"), F.col("rare")[0]["ipos"].alias("p1"), second["term_id"].alias("t2"), second["ipos"].alias("p2")).distinct(), "anchors")
-
-    def listed(n: int) -> DataFrame:
-        side = _small(anchors.select(F.col(f"t{n}").alias("term_id"), "item_id", "g", F.col(f"p{n}").alias("at"), "p1", "p2"))
-        return index.join(side, "term_id").select("item_id", "g", "p1", "p2", "doc_id", "h", (F.col("pos") - F.col("at")).alias("shift"))
-
-    a, b = listed(1).alias("a"), listed(2).alias("b")
-    same = (F.col("a.h") == F.col("b.h")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    for c in ("item_id", "g", "p1", "p2", "shift"):
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    lined = stored(a.join(b, same, "left_semi").select("item_id", "g", "doc_id", "h", "shift").distinct(), "alignments")
+    # all but `length - agree` words of a window agree: of any that many and `need` more, at least `need`
+    length, agree = F.least(F.lit(width), F.col("size")), F.least(F.lit(near), F.col("size"))
+    need = F.least(F.lit(2), agree)
+    looked = starts.select("item_id", "g", need.alias("need"), F.explode(F.slice("rare", F.lit(1), length - agree + need)).alias("r"))
+    anchors = stored(looked.select("item_id", "g", "need", F.col("r.term_id").alias("term_id"), F.col("r.ipos").alias("at")).distinct(), "anchors")
+    listed = index.join(_small(anchors), "term_id").select("item_id", "g", "need", "doc_id", "h", "at", (F.col("pos") - F.col("at")).alias("shift"))
+    met = listed.groupBy("item_id", "g", "doc_id", "h", "shift").agg(F.count("*").alias("met"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("need").alias("need"))
+    together = (F.col("met") >= F.col("need")) & ((F.col("met") > 2) | (F.col("hi") - F.col("lo") < width))
+    lined = stored(met.filter(together).select("item_id", "g", "doc_id", "h", "shift"), "alignments")
     some = _small(lined.select("doc_id", "h").distinct()).alias("s")
     local = index.filter("term_id >= 0").alias("x").join(some, (F.col("x.h") == F.col("s.h")) & F.col("x.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
     wanted = lined.join(_small(known.select("item_id", "g", "ipos", "size", "term_id")), ["item_id", "g"]).withColumn("pos", F.col("shift") + F.col("ipos")).alias("y")
@@ -88,17 +85,23 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = WIDTH, near: int = N
     return met.select("doc_id", "h", "item_id", "pos", "exact", "close"), index
 
 
-def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH, near: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and h.
 
     A null text has no words. Items that are null or without words match nothing; an item of fewer words than
-    width is one window. contaminated: 20 * n_hit >= n_words and n_hit > 0."""
-    met, index = matches(docs, bench, width)
-    hits = met.filter("exact").select("doc_id", "h", "item_id", "pos")
-    hit = hits.select("doc_id", "h", "pos").distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
-    found = hits.select("doc_id", "h", "item_id").distinct().groupBy("doc_id", "h").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"), F.count("*").alias("n_items"))
-    rows = index.filter("term_id = -1").select("doc_id", "h", F.col("pos").cast("long").alias("n_words")).alias("r")
-    both = stored(hit.alias("a").join(found.alias("b"), (F.col("a.h") == F.col("b.h")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select("a.doc_id", "a.h", "n_hit", "n_items", "items"), "hits").alias("z")
-    out = rows.join(both, (F.col("r.h") == F.col("z.h")) & F.col("r.doc_id").eqNullSafe(F.col("z.doc_id")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("r.doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "r.h")
+    width is one window. contaminated: 20 * n_hit >= n_words and n_hit > 0. With near there are also n_near,
+    n_near_items and near_items_sha256: the same of the words and items that match by proximity, exact ones included."""
+    met, index = matches(docs, bench, width, near or width)
+    if near:
+        met = stored(met, "met")
+    out = index.filter("term_id = -1").select("doc_id", "h", F.col("pos").cast("long").alias("n_words"))
+    for kind, n, items in (("exact", "n_hit", "items"), ("close", "n_near", "near_items"))[: 2 if near else 1]:
+        hits = met.filter(kind).select("doc_id", "h", "item_id", "pos")
+        hit = hits.select("doc_id", "h", "pos").distinct().groupBy("doc_id", "h").agg(F.count("*").alias(n))
+        found = hits.select("doc_id", "h", "item_id").distinct().groupBy("doc_id", "h").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias(items), F.count("*").alias(f"n_{items}"))
+        both = stored(hit.alias("a").join(found.alias("b"), (F.col("a.h") == F.col("b.h")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select("a.doc_id", "a.h", n, f"n_{items}", items), "hits").alias("z")
+        out = out.alias("r").join(both, (F.col("r.h") == F.col("z.h")) & F.col("r.doc_id").eqNullSafe(F.col("z.doc_id")), "left").select("r.*", n, f"n_{items}", items)
+    out = out.fillna(0, [c for c in out.columns if c in ("n_hit", "n_items", "n_near", "n_near_items")])
+    sha = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256).alias(f"{c}_sha256")
+    extra = ["n_near", "n_near_items", sha("near_items")] if near else []
+    return out.select("doc_id", "n_words", "n_hit", "n_items", sha("items"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *extra, "h")

@@ -27,6 +27,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)"""
 
 
+def proximity(width: int = 13, near: int = 10) -> str:
+    ctes, last = decontamination(width).rsplit("\nSELECT ", 1)
+    line = "PARTITION BY rid, gid, pos - ipos ORDER BY ipos RANGE BETWEEN"
+    return f"""{ctes},
+gi AS (SELECT row_number() OVER () AS gid, item_id, w FROM i WHERE len(w) > 0),
+ip AS (SELECT gid, item_id, len(w) AS size, unnest(range(1, len(w) + 1)) AS ipos, unnest(w) AS word FROM gi),
+dp AS (SELECT rid, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+ag AS (SELECT rid, gid, item_id, size, ipos, pos FROM dp JOIN ip USING (word)),
+ac AS (SELECT *, count(*) OVER ({line} {width - 1} PRECEDING AND CURRENT ROW) AS k FROM ag),
+cl AS (SELECT rid, item_id, pos FROM (SELECT *, max(CASE WHEN k >= least({near}, size) THEN 1 ELSE 0 END) OVER ({line} CURRENT ROW AND {width - 1} FOLLOWING) AS c FROM ac) WHERE c = 1),
+cn AS (SELECT rid, count(DISTINCT pos) AS n_near FROM cl GROUP BY rid),
+cm AS (SELECT rid, count(*) AS n_near_items, string_agg(item_id, ',' ORDER BY item_id) AS near_items FROM (SELECT DISTINCT rid, item_id FROM cl) GROUP BY rid)
+SELECT CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near_items, '')) AS near_items_sha256, {last} LEFT JOIN cn USING (rid) LEFT JOIN cm USING (rid)"""
+
+
 def near_duplicates(width: int = 5, percent: int = 75) -> str:
     return f"""WITH RECURSIVE d AS (SELECT doc_id, {_words('text', SPACE)} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + {width - 1}], ' ') AS t, least(len(w), {width}) AS l FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS k FROM d WHERE len(w) > 0)),

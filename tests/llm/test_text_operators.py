@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import zlib
@@ -107,6 +108,38 @@ def test_proximity_matches_allow_changed_words(spark):
     assert {r.pos for r in got if r.exact} == {2 + k for k in range(7, 20)}
 
 
+def test_proximity_matches_without_the_rarest_word(spark):
+    rng = random.Random(12)
+    items = [(k, cases.prose(rng, n, 60)) for k, n in enumerate((13, 13, 40, 12, 10, 5, 1))]
+    items[0] = (0, "rarest " + items[0][1][5:])
+    schema = "item_id long, text string"
+    split = [t.split(" ") for _, t in items]
+    data = [(1, " ".join(["a", "changed", *split[0][1:], "b"])), (2, "rarest"), (3, cases.prose(rng, 400, 60))]
+    for k in range(60):  # up to five words changed, to words in or out of the corpus, or cut out
+        w = list(split[k % 6])
+        for j in rng.sample(range(len(w)), min(len(w), k // 6 % 6)):
+            w[j] = rng.choice((f"w{rng.randrange(60):03d}", f"new{k}", ""))
+        data.append((10 + k, cases.prose(rng, 5, 60) + " " + " ".join(w) + " " + cases.prose(rng, 5, 60)))
+    want = {}
+    for i, t in data:
+        w, hit, found = t.split(), set(), set()
+        for name, x in enumerate(split):
+            length, agree = min(13, len(x)), min(10, len(x))
+            for a in range(len(x) - length + 1):
+                for at in range(-length + 1, len(w)):
+                    same = [at + j for j in range(length) if 0 <= at + j < len(w) and w[at + j] == x[a + j]]
+                    if len(same) >= agree:
+                        hit.update(same)
+                        found.add(name)
+        want[i] = (len(hit), len(found), hashlib.sha256(",".join(map(str, sorted(found))).encode()).hexdigest())
+    assert want[1][0] >= 12
+    docs, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, schema)
+    got = decontam.contamination(docs, bench, near=decontam.NEAR).collect()
+    assert {r.doc_id: (r.n_near, r.n_near_items, r.near_items_sha256) for r in got} == want
+    plain = rows(decontam.contamination(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert plain == sorted(cases.contaminated(data, items), key=repr) == sorted((tuple(r)[:6] for r in got), key=repr)
+
+
 def test_secrets(spark):
     texts = ["password: abcdefgh", "PassWord=short token=secret: abcdefghij", "AKIAABCDEFGHIJKL AKIASHORT", "é api_key='ABCDEFGH.ijk'", "f" * 31 + " " + "f" * 32, "key q9ZxK2mP7vLw4RtY8sB1 end", "id 123e4567-e89b-12d3-a456-426614174000", None, "", "section-12-of-34-and-more-words"]
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, base int, spans int")

@@ -4,7 +4,8 @@ Every document's word shingles get one hash function; the k smallest values are
 Inverted lists of the retained values propose pairs, an estimate from the union of two sketches
 filters them, and the exact Jaccard similarity of the full shingle sets decides.
 
-Documents with equal shingle sets are one class from the start. Values are ordered by how many
+Texts with equal shingle sets are one class from the start, with a number of its own: classes are compared, and
+only components are led back to documents, so a doc_id may stand on any number of texts. Values are ordered by how many
 classes hold them, and a class enters only the lists of its rarest values: two sketches that share at
 least `need` values must meet in those (prefix filtering). The least overlap `need` is six standard
 deviations below what similarity 0.75 gives, so a true pair is missed with probability about 1e-9. That
@@ -36,7 +37,7 @@ WIDTH = 5
 #: Ids are broadcast to the scan of the texts up to this many (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
-SKETCH = "doc_id long, n long, d1 long, d2 long, sk binary"
+SKETCH = "doc_id long, h long, n long, d1 long, d2 long, sk binary"
 
 
 def _floor(p: float, k: int) -> float:
@@ -44,18 +45,24 @@ def _floor(p: float, k: int) -> float:
     return p - 6 * math.sqrt(p * (1 - p) / k)
 
 
-def sketches(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, h, text: h tells the texts of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def sketches(texts: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, d1, d2, sk = [], [], [], []
-            for s in shingle_sets(b.column(1), width):
+            for s in shingle_sets(b.column(2), width):
                 n.append(len(s))
                 d1.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else 0)
                 sk.append(s[:k].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "n", "d1", "d2", "sk"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary())], names=["doc_id", "h", "n", "d1", "d2", "sk"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return texts.select("doc_id", "h", "text").mapInArrow(run, SKETCH)
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -84,10 +91,12 @@ def prefix_lists(classes: DataFrame, similarity: float, k: int) -> DataFrame:
     return met.filter("room >= need").select("v", "doc_id", "n", "need", "room")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the rows with these ids."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id (the number of the class), h and text of the rows that keys (id, h, class) name, each once."""
+    ids = keys.select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    some = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+    return some.join(keys, ["id", "h"]).dropDuplicates(["id", "h"]).select(F.col("class").alias("doc_id"), "h", "text")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -114,11 +123,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, similarity: float, k: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, "a long, b long, est double")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, similarity: float, width: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have the similarity; compared as integers of a percent."""
     percent = round(100 * similarity)
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    texts = stored(_only(docs, ids), "texts")
+    ids = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    texts = stored(_only(texts, stored(keys.join(ids, "class"), "ids")), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,14 +157,18 @@ def _labelled(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K, long: int = K_LONG, width: int = WIDTH, stars: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Components over the classes, and the classes: (u, v) as `components` gives, (doc_id, rep)."""
+    """Links (u, v) between classes, and the classes: (class, d1, d2, n, id, h), where id and h name the
+    smallest member."""
     full = made.filter("n > 0 and doc_id is not null")
-    member = stored(full.select("doc_id", "d1", "d2", "n").join(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), ["d1", "d2", "n"]).select("doc_id", "rep"), "classes")
-    classes = full.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    able = stored(prefix_lists(classes, similarity, k).select("doc_id").distinct(), "able")
-    classes = stored(sketches(_only(docs, able), long, width), "longer")
+    first = full.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "h")).alias("m"))
+    member = stored(first.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "n", F.col("m.doc_id").alias("id"), F.col("m.h").alias("h")), "classes")
+    texts = _hashed(docs)
+    named = member.select("class", F.col("id").alias("doc_id"), "h")
+    classes = full.select("doc_id", "h", "n", "sk").join(named, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select(F.col("class").alias("doc_id"), "n", "sk")
+    able = prefix_lists(classes, similarity, k).select(F.col("doc_id").alias("class")).distinct()
+    keys = stored(member.select("class", "id", "h").join(able, "class"), "able")
+    classes = stored(sketches(_only(texts, keys), long, width), "longer")
     lists = stored(prefix_lists(classes, similarity, long), "lists")
-    extra = member.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     exact = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
     # of the values that both hold, the longer sketch is expected to show this many; six deviations less is safe
     shown = F.floor(similarity / (1 + similarity) * (1 + F.least("na", "nb") / F.greatest("na", "nb")) * long - 6 * math.sqrt(long * similarity * (1 - similarity)))
@@ -175,11 +188,11 @@ def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K
         found = stored(_likely(pairs, classes, similarity, long), "likely")
         if turn < stars:
             found = found.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
-        sure = stored(verified(found, docs, similarity, width), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        sure = stored(verified(found, texts, keys, similarity, width), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = sure if edges is None else edges.union(sure)
         if turn < stars:
             comp = components(edges)
-    return components(edges.union(extra)), member
+    return edges, member
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, k: int = K, long: int = K_LONG, width: int = WIDTH) -> DataFrame:
@@ -188,8 +201,25 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, k: int = K, long:
     Words are maximal runs without white space, after lower-casing A-Z. Null, empty and blank
     texts have no shingles and are linked with nothing. Rows with equal doc_id are one document, whose links
     are pooled. Rows with a null doc_id are returned with a null component and kept."""
-    made = stored(sketches(docs, k, width), "sketches")
-    comp, _ = links(docs, made, similarity, k, long, width)
+    made = stored(sketches(_hashed(docs), k, width), "sketches")
+    edges, member = links(docs, made, similarity, k, long, width)
+    ids = member.select("class", "id")
+    near = edges.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = made.filter("n > 0 and doc_id is not null").join(member.drop("h"), ["d1", "d2", "n"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    comp = components(near.union(same))
     out = made.select("doc_id", F.col("n").alias("n_shingles")).join(comp.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def copies(docs: DataFrame, similarity: float = 0.75, k: int = K, long: int = K_LONG, width: int = WIDTH) -> DataFrame:
+    """(doc_id, h) of the texts that are near copies of another with a smaller doc_id, or a smaller h, xxhash64
+    of the text, at the same doc_id. Each text counts for itself: another text of its doc_id doesn't take it along."""
+    made = stored(sketches(_hashed(docs), k, width), "sketches")
+    edges, member = links(docs, made, similarity, k, long, width)
+    comp = components(edges).toDF("class", "c")
+    group = member.join(comp, "class", "left").withColumn("c", F.coalesce("c", "class"))
+    best = group.groupBy("c").agg(F.min(F.struct("id", "h")).alias("m"))
+    group = group.join(best, "c").select("d1", "d2", "n", "m")
+    rows = made.filter("n > 0 and doc_id is not null").join(group, ["d1", "d2", "n"])
+    return rows.filter((F.col("doc_id") != F.col("m.id")) | (F.col("h") != F.col("m.h"))).select("doc_id", "h").distinct()

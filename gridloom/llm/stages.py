@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.decontam import contamination
-from gridloom.llm.neardup import near_duplicates
+from gridloom.llm.neardup import copies
 from gridloom.llm.packing import packed
 from gridloom.llm.secrets import redacted
 from gridloom.llm.toxicity import toxicity
@@ -27,10 +27,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id in each component of near copies, and one row of those with
-    equal doc_id and text. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    out = _without(docs, gone, ["doc_id"])
+    """The text of the smallest doc_id in each component of near copies, and one row of those with
+    equal doc_id and text. Different texts of one doc_id count each for itself. Rows with a null doc_id stay."""
+    hashed = docs.withColumns({"id_": F.col("doc_id").cast("long"), "h_": F.xxhash64(F.col("text").cast("string"))})
+    out = _without(hashed, copies(docs).toDF("id_", "h_"), ["id_", "h_"]).select(docs.columns)
     twice = out.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
     if twice.isEmpty():
         return out

@@ -36,6 +36,21 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_one_doc_id_on_different_texts(spark, sf_dir):
+    rng = random.Random(21)
+    texts = [cases.prose(rng, 80, 5000) for _ in range(8)]
+    other = lambda t, k: t.replace(t.split(" ")[40], f"new{k}")
+    data = [(5, texts[0]), (5, texts[1]), (7, other(texts[0], 1)), (8, other(texts[1], 2)), (3, texts[2]), (9, texts[2]), (3, texts[3]), (6, other(texts[2], 3)), (2, other(texts[3], 4)), (20, texts[4]), (21, other(texts[4], 5)), (21, texts[5]), (30, texts[6]), (30, other(texts[6], 6)), (31, None), (31, texts[7])]
+    data = [(*r, None, None, None, None, None, None) for r in data]
+    want = cases.components(data)
+    docs = cases.table(spark, data)
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(data) and {r.doc_id: r.component_id for r in got} == want
+    kept = sorted(((r.doc_id, r.text) for r in stages.deduplicated(spark, docs, sf_dir).collect()), key=repr)
+    sure = [(5, texts[0]), (5, texts[1]), (3, texts[2]), (2, other(texts[3], 4)), (20, texts[4]), (21, texts[5]), (31, None), (31, texts[7])]
+    assert [r for r in kept if r[0] != 30] == sorted(sure, key=repr) and sum(r[0] == 30 for r in kept) == 1
+
+
 def test_near_duplicates_chain_of_copies(spark):
     rng = random.Random(5)
     base, data = cases.prose(rng, 200, 5000).split(" "), []

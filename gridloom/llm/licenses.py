@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.decontam import BROADCAST_ROWS, words
+from gridloom.llm.secrets import bound
 from gridloom.llm.workspace import stored
 
 WIDTH = 5
@@ -45,12 +46,6 @@ TEMPLATES = {
 }
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value computed once: as a lambda's variable it isn't copied into inner lambdas, where the
-    optimiser would have it computed again for every element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def shingle_strings(w: Column, width: int = WIDTH) -> Column:
     """Distinct shingles of a word array; fewer words than width are one shingle, no words none."""
 

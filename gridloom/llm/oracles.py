@@ -13,6 +13,8 @@ def _words(text: str, breaks: str) -> str:
 
 ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Plain words and numbers, joined.
+JOINED = r"^[-_/=+]*([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*[-_/=+]*$"
 
 
 def decontamination(width: int = 13) -> str:
@@ -66,7 +68,7 @@ SELECT rid, regexp_extract_all(text, '{p}') AS w, regexp_extract_all(text, '{p}'
 def secret_spans() -> str:
     w = secrets.WINDOW
     assign = secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "(?:" + "|".join("".join(f"[{c.upper()}{c}]" for c in x) for x in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])")
-    allow = " OR ".join(f"regexp_matches(value, '{p}')" for p in secrets.ALLOW)
+    allow = " OR ".join(f"regexp_matches(value, '{p}')" for p in (*secrets.ALLOW, JOINED))
     t = secrets.THRESHOLDS
     kinds = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
     text = f"{kinds}[kind + 1] || ':' || start || ':' || stop"

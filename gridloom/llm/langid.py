@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.textkit import WORD_BYTES, chunks, span_hashes, words
@@ -23,6 +23,8 @@ BITS = 18
 #: The most training rows of each language, and the most bytes of them.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 5 << 20
+#: Languages that are learned, the most frequent ones; labels are 16-bit.
+MOST_LANGUAGES = 256
 SWITCH = 6.0
 OTHER = -8.0
 LEADS = (0.0, 0.5, 1.0, 2.0, 4.0)
@@ -124,7 +126,7 @@ def viterbi(s: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndar
     rank = np.argsort(-length, kind="stable")
     steps = int(length.max(initial=0))
     if not steps:
-        return np.zeros(0, np.int8)
+        return np.zeros(0, np.int16)
     active = np.searchsorted(-length[rank], -np.arange(steps), "left")
     base = np.concatenate([[0], np.cumsum(active)])
     place = np.empty(len(length), np.int64)
@@ -133,7 +135,7 @@ def viterbi(s: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndar
     at = base[np.arange(len(s)) - first[row]] + place[row]
     laid = np.empty_like(s)
     laid[at] = s
-    best = np.empty(len(s), np.int8)
+    best = np.empty(len(s), np.int16)
     left = np.zeros(s.shape, bool)
     v = laid[: base[1]].copy()
     cuts = base.tolist()
@@ -147,8 +149,8 @@ def viterbi(s: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndar
         v = np.maximum(v, top)
         v += laid[a:b]
         # the rows that end at the step before keep their last values in the path below
-    path = np.empty(len(s), np.int8)
-    final = np.zeros(len(length), np.int8)
+    path = np.empty(len(s), np.int16)
+    final = np.zeros(len(length), np.int16)
     return _trace(laid, best, left, cuts, active, final, path, switch)[at]
 
 
@@ -225,19 +227,20 @@ def held_out(parts: int = 4, at: int = 2):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == at, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most `rows` rows and `size` bytes of each language outside the held-out
-    fold, in the order of a hash of doc_id."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, most: int = MOST_LANGUAGES) -> tuple[list[str], list[str]]:
+    """Texts and languages of at most `rows` rows and `size` bytes of each of the `most` commonest languages outside the
+    held-out fold, in the order of a hash of doc_id. Rows are drawn in one pass: from counts by language follows up to
+    which hash a row can be among the first (twice as many as wanted are expected there)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
-    names = [r[0] for r in base.select("lang").distinct().collect()]
-    order = (F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    picked = None
-    for name in sorted(names):
-        part = base.filter(F.col("lang") == name).orderBy(*order).select("doc_id", "lang").limit(rows)
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
+    counts = base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not counts:
         return [], []
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, lang string").distinct()
+    spark = docs.sparkSession
+    last = spark.createDataFrame([(r.lang, (1 << 63) - 1 if r.n <= 2 * rows else (2 * rows << 64) // r.n - (1 << 63)) for r in counts], "lang string, last long")
+    h = F.xxhash64("doc_id", F.lit(3))
+    drawn = base.select("doc_id", "lang", h.alias("h")).join(F.broadcast(last), "lang").filter("h <= last")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = spark.createDataFrame([(r.doc_id, r.lang) for r in drawn.withColumn("k", rank).filter(F.col("k") <= rows).collect()], "doc_id long, lang string").distinct()
     found = base.join(F.broadcast(ids), ["doc_id", "lang"])
     total: dict[str, int] = {}
     use = []
@@ -245,7 +248,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -
         if total.get(name, 0) + n <= size:
             total[name] = total.get(name, 0) + n
             use.append((i, name))
-    keep = docs.sparkSession.createDataFrame(use or [(None, None)], "doc_id long, lang string").distinct()
+    keep = spark.createDataFrame(use or [(None, None)], "doc_id long, lang string").distinct()
     got = found.join(F.broadcast(keep), ["doc_id", "lang"]).select("text", "lang").collect()
     return [r[0] for r in got], [r[1] for r in got]
 

@@ -3,8 +3,9 @@
 A sample in which a record's chance grows with its size gives quantiles of the key; records are
 range-partitioned by them into many more ranges than shards, and ranges that turn out overfull are
 subdivided by a denser sample of their own. The key is a hash of the text followed by one of doc_id, so
-equal texts lie together and yet a group of copies of any size can be divided. Exact sizes of the ranges then
-place the boundaries of shards, inside a range where need be.
+equal texts lie together and yet a group of copies of any size can be divided; the last bits of the second hash tell
+rows of equal text and doc_id apart. Exact sizes of the ranges then place the boundaries of shards, inside a range where need be.
+What the driver holds, samples and sums of ranges, is bounded by MOST_RANGES.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ SHARDS = 16
 RANGES = 512
 #: Rows that a range is meant to hold at most; more rows make more ranges.
 RANGE_ROWS = 100_000
+#: Yet never more ranges than these; beyond, ranges get longer.
+MOST_RANGES = 8192
+#: Bits of a key that tell equal rows apart.
+ROW_BITS = 20
 #: Expected size of the sample for each range.
 PER_RANGE = 40
 OVERFULL = 2.0
@@ -69,10 +74,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, range_r
     Shards are intervals of the key order, of sizes within one record of total/shards. Equal rows may take each
     other's slots; rows with a null doc_id sort before others of the same text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k"), F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.lit(-(1 << 63))).alias("t"))
+    by_id = F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.lit(-(1 << 63)))
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k"), by_id.bitwiseAND(F.lit(-1 << ROW_BITS)).bitwiseOR(row).alias("t"))
     rows = stored(rows, "sizes")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = max(ranges, -(-n // range_rows))
+    parts = min(max(ranges, -(-n // range_rows)), max(ranges, MOST_RANGES))
     splitters = _quantiles(_chosen(rows, total, PER_RANGE * parts, 11), parts)
     for turn in range(4):
         placed = _ranged(rows, splitters)
@@ -93,7 +100,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, range_r
     order = sorted(sums)
     before = np.cumsum([(0, 0), *[sums[r] for r in order]], axis=0)[:-1].tolist()
     starts = rows.sparkSession.createDataFrame([(int(r), int(c), int(s)) for r, (c, s) in zip(order, before, strict=True)], "r long, c0 long, s0 long")
-    own = Window.partitionBy("r").orderBy("k", "t", "size")
+    own = Window.partitionBy("r").orderBy("k", "t")
     dealt = placed.withColumn("i", F.row_number().over(own).cast("long") - 1).withColumn("b", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     dealt = dealt.join(F.broadcast(starts), "r").withColumn("i", F.col("i") + F.col("c0"))
     mid = (F.coalesce("b", F.lit(0)) + F.col("s0")).cast("decimal(38,0)") * 2 + F.col("size")

@@ -14,7 +14,8 @@ sketches, which decide more sharply.
 
 Lists aren't expanded into all pairs. First each member of a list meets the list's smallest member
 only; confirmed links make components. Pairs of later rounds are those between different components,
-so a group of copies of any size costs rows in proportion to its size once it is connected.
+so a group of copies of any size costs rows in proportion to its size once it is connected. What is joined with the
+lists is a table by then, not an aggregate in the same stage, so adaptive execution can split a list of any length.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.graph import components
 from gridloom.llm.textkit import mix, shingle_sets
-from gridloom.llm.workspace import stored
+from gridloom.llm.workspace import discard, stored
 
 K = 64
 K_LONG = 1024
@@ -81,7 +82,7 @@ def prefix_lists(classes: DataFrame, similarity: float, k: int) -> DataFrame:
     can still reach from this value on, in the common order of values."""
     least = max(1, math.ceil(k * _floor(similarity, k)))
     posts = _postings(classes)
-    shared = posts.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = stored(posts.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     met = posts.join(shared, "v")
     by = Window.partitionBy("doc_id")
     kept = F.least(F.col("n"), F.lit(k))
@@ -140,7 +141,9 @@ def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, similarity: fl
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    sure = stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    discard(texts)
+    return sure
 
 
 def _alike(na: str, nb: str, similarity: float):
@@ -152,7 +155,8 @@ def _labelled(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return lists.withColumn("c", F.col("doc_id"))
     named = lists.join(comp.select(F.col("u").alias("doc_id"), F.col("v").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    mixed = named.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
+    named = stored(named, "components")
+    mixed = stored(named.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v"), "mixed")
     return named.join(mixed, "v").select("v", "doc_id", "n", "need", "room", "c")
 
 
@@ -175,20 +179,22 @@ def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K
     overlap = F.when(F.greatest("na", "nb") <= long, exact).otherwise(F.greatest("need_a", "need_b", shown))
     meet = _alike("na", "nb", similarity) & (F.col("ca") != F.col("cb")) & (F.least("room_a", "room_b") >= overlap)
     edges, comp = None, None
+    # the tables of a round go when its links are known
     for turn in range(stars + 1):
         named = stored(_labelled(lists, comp), "named")
         y = named.select("v", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"), F.col("room").alias("room_b"), F.col("c").alias("cb"))
         if turn < stars:
             order = F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("c", "doc_id", F.lit(turn))).alias("first"), "doc_id", "n", "need", "room", "c")
-            x = named.groupBy("v").agg(F.min(order).alias("h")).select("v", "h.*").drop("first")
+            x = stored(named.groupBy("v").agg(F.min(order).alias("h")).select("v", "h.*").drop("first"), "heads")
         else:
             x = named
         x = x.select("v", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("need").alias("need_a"), F.col("room").alias("room_a"), F.col("c").alias("ca"))
         pairs = x.join(y, "v").filter(meet if turn < stars else meet & F.expr("a < b")).select("a", "b").distinct()
-        found = stored(_likely(pairs, classes, similarity, long), "likely")
+        likely = found = stored(_likely(pairs, classes, similarity, long), "likely")
         if turn < stars:
             found = found.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
-        sure = stored(verified(found, texts, keys, similarity, width), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        sure = verified(found, texts, keys, similarity, width).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        discard(named, likely)
         edges = sure if edges is None else edges.union(sure)
         if turn < stars:
             comp = components(edges)

@@ -9,6 +9,8 @@
    the text: between samples it shrinks by one byte a step.
 3. Starts whose match reaches `length`, and all of a context that occurs twice, go back to the texts.
 
+Counts by anchor are tables before they are joined, so adaptive execution can split the rows of one anchor.
+
 An anchor with more than HOT distinct contexts isn't gathered: its strings are counted by hash at their
 place relative to the anchor, which any number of tasks can share.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.textkit import chunks, mix, powers
-from gridloom.llm.workspace import stored
+from gridloom.llm.workspace import discard, stored
 
 LENGTH = 200
 GRAM = 64
@@ -59,6 +61,8 @@ def contexts(off: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if n < length:
         return none
+    if n > int(_POS):
+        raise ValueError("a text of over 256 MB")
     total, q = _prefix(data)
     g = mix((total[gram:] - total[:-gram]) * q[: n - gram + 1])
     key = (g & ~_POS) | np.arange(len(g), dtype=np.uint64)
@@ -182,10 +186,11 @@ def _some(df: DataFrame) -> DataFrame:
 def removals(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(h1, h2, lo, hi): runs of starts of repeated strings in each distinct text."""
     found = stored(_anchors(keyed, length, gram), "anchors")
-    again = found.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
-    found = stored(found.join(again, "g", "left_semi"), "repeated")
+    again = stored(found.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "again")
+    every, found = found, stored(found.join(again, "g", "left_semi"), "repeated")
+    discard(every, again)
     kinds = stored(found.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "lo", "hi", "p")).alias("x")).select("g", "s", "c", "x.*"), "contexts")
-    many = kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1")
+    many = stored(kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1"), "many")
     open_ = kinds.join(many, "g")
     wanted = open_.groupBy("h1", "h2").agg(F.collect_list(F.struct("g", "s", "lo", "hi", "p", "k")).alias("x"))
     wanted = stored(wanted, "wanted")
@@ -202,6 +207,7 @@ def removals(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["g", "s", "k", "o", "bytes"])
 
     pieces = stored(texts.join(wanted, ["h1", "h2"]).select("text", "x").mapInArrow(cut, "g long, s long, k long, o int, bytes binary"), "pieces")
+    discard(many, wanted)
     size = pieces.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     buckets = max(1, -(-size // BUCKET_BYTES))
     cold = pieces.filter(F.col("k") <= HOT).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
@@ -222,6 +228,7 @@ def removals(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
         twice = each.groupBy("g", "o", "w").agg(F.count("*").alias("c")).filter("c > 1").select("g", "o", "w")
         marks = marks.union(each.join(twice, ["g", "o", "w"]).select("g", "s", "lo", F.col("lo").alias("hi")))
     marks = stored(marks, "marks")
+    discard(pieces)
     place = found.join(kinds.filter("c > 1").select("g", "s"), ["g", "s"], "left_semi").select("h1", "h2", "lo", "hi")
     single = kinds.filter("c = 1").select("g", "s", "h1", "h2", F.col("lo").alias("at"))
     part = single.join(marks, ["g", "s"]).select("h1", "h2", (F.col("at") + F.col("lo")).cast("int").alias("lo"), (F.col("at") + F.col("hi")).cast("int").alias("hi"))

@@ -25,8 +25,10 @@ def unzigzag(z: Column) -> Column:
 
 
 def bitlen(z: Column) -> Column:
-    """Bits that a non-negative integer needs; 0 for 0."""
-    return F.when(z == 0, 0).otherwise(F.length(F.bin(z))).cast("int")
+    """Bits that a non-negative integer needs; 0 for 0, and 64 for what has the sign bit set."""
+    # half more than z is never so near a power of two that the logarithm rounds across it
+    small = F.floor(F.log2(z + F.lit(0.5))) + 1
+    return F.when((z >= 0) & (z < (1 << 44)), small).otherwise(F.length(F.bin(z))).cast("int")
 
 
 def bucket(z: Column, most: int = 23) -> Column:
@@ -41,12 +43,20 @@ def wrap(v: Column) -> Column:
     return F.when(r >= F.lit(Decimal(1 << 63)).cast("decimal(38,0)"), r - m).otherwise(r).cast(LONG)
 
 
+def _low(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def wsub(a: Column, b: Column) -> Column:
-    return wrap(a.cast("decimal(20,0)") - b.cast("decimal(20,0)"))
+    """a - b modulo 2**64, by halves of 32 bits, so that nothing overflows on the way. Arguments should be columns:
+    each stands in the result three times."""
+    low = _low(a) - _low(b)
+    return F.shiftleft(F.shiftright(a, 32) - F.shiftright(b, 32) + F.shiftright(low, 32), 32).bitwiseOR(_low(low))
 
 
 def wadd(a: Column, b: Column) -> Column:
-    return wrap(a.cast("decimal(20,0)") + b.cast("decimal(20,0)"))
+    low = _low(a) + _low(b)
+    return F.shiftleft(F.shiftright(a, 32) + F.shiftright(b, 32) + F.shiftright(low, 32), 32).bitwiseOR(_low(low))
 
 
 def floor_div(a: Column, b: Column | int) -> Column:
@@ -63,7 +73,7 @@ def round_div(a: Column, b: Column | int) -> Column:
 
 
 def median3(a: Column, b: Column, c: Column) -> Column:
-    return a + b + c - F.greatest(a, b, c) - F.least(a, b, c)
+    return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
 
 
 def median5(*v: Column) -> Column:
@@ -100,6 +110,29 @@ def unpolar(r: Column, azimuth: Column, elevation: Column) -> tuple[Column, Colu
     return flat * F.cos(azimuth), flat * F.sin(azimuth), r * F.sin(elevation)
 
 
+def world(kind: str, x: Column, y: Column, z: Column, scale=(1.0, 1.0, 1.0), offset=(0.0, 0.0, 0.0), r_step: float = 1.0, angle_step: float = 1.0) -> tuple[Column, Column, Column]:
+    """World coordinates of an integer (scaled and moved), float (as they stand) or polar (range, azimuth and elevation in
+    steps) representation."""
+    if kind == "int":
+        return tuple(v * F.lit(s) + F.lit(o) for v, s, o in zip((x, y, z), scale, offset, strict=True))
+    if kind == "float":
+        return x.cast("double"), y.cast("double"), z.cast("double")
+    if kind == "polar":
+        return unpolar(x * F.lit(r_step), y * F.lit(angle_step), z * F.lit(angle_step))
+    raise ValueError(f"no representation {kind}")
+
+
+def byte_plane(z: Column, k: int) -> Column:
+    """Byte k of a 64-bit integer, the lowest first."""
+    return F.shiftright(z, 8 * k).bitwiseAND(F.lit(255).cast(LONG))
+
+
+def hash_uniform(key: Column, seed: int) -> Column:
+    """A number in [0, 1) from 52 bits of a digest of key and seed."""
+    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def ycocg(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     co = r - b
     t = b + F.shiftright(co, 1)
@@ -163,6 +196,31 @@ def mean_round(total: Column, count: Column) -> Column:
     return F.when(total >= 0, F.floor((2 * total + count) / (2 * count))).otherwise(-F.floor((-2 * total + count) / (2 * count))).cast(LONG)
 
 
+#: Shares of a dropped bit that is saved, above which the bit was noise, mostly noise or structure (fixed values).
+BIT_VERDICTS = ((0.92, "noise"), (0.70, "mostly noise"), (0.40, "structure"))
+#: Bits a level of an octree, above which the level is noise, sampling or structure (fixed values).
+LEVEL_VERDICTS = ((2.85, "noise"), (2.2, "sampling"), (1.2, "structure"))
+
+
+def verdict(v: Column, steps: tuple[tuple[float, str], ...], last: str = "strong structure") -> Column:
+    out = F.when(v > steps[0][0], steps[0][1])
+    for limit, name in steps[1:]:
+        out = out.when(v > limit, name)
+    return F.when(v.isNotNull(), out.otherwise(last))
+
+
+#: Trend terms by name: added to a neighbour that was chosen as the prediction.
+TRENDS = ("none", "median3", "half")
+
+
+def trend(name: str, d: list[Column], k: Column) -> Column:
+    """What to add, from the last three differences (latest first) and the number k of rows before; 0 until three
+    differences between rows are known."""
+    zero = F.lit(0).cast(LONG)
+    m = F.when(k >= 4, median3(*d[:3])).otherwise(zero)
+    return {"none": zero, "median3": m, "half": F.floor(m / 2).cast(LONG)}[name]
+
+
 #: The eight predictors by name, in the order of their numbers.
 MODES = ("median3", "mean4", "half", "median5", "quarter", "three_quarter", "none", "median5_half")
 

@@ -1,6 +1,6 @@
 """Dependencies between columns: discovery, application and exact inversion.
 
-Candidates come from one aggregate; affine ones are proposed by a least-squares slope of a strided
+Candidates come from one aggregate (which rejects columns with nulls); affine ones are proposed by a least-squares slope of a strided
 sample, but only an exact proof over all rows in integer arithmetic accepts them.
 """
 
@@ -16,6 +16,8 @@ from gridloom.operators.entropy import order0
 #: Denominators that a slope may have (fixed values).
 DENOMINATORS = (1, 2, 4, 5, 8, 10, 100)
 WIDE = "decimal(38,0)"
+#: Columns that no step may remove unless the caller says so (fixed value).
+PROTECTED = frozenset({"bit_fields"})
 
 
 @dataclass(frozen=True)
@@ -29,34 +31,52 @@ class Step:
     b: int = 0
 
 
+def _facts(df: DataFrame, cols: list[str], *, ends: bool = False, same: bool = False, slopes: bool = False):
+    """One row with what is asked for of each column (lo, hi) and of each pair of an earlier source and a later target
+    (same, slope), from one pass. A column with nulls is an error: no step could give them back."""
+    pairs = [(cols[j], cols[i]) for j in range(len(cols)) for i in range(j)]
+    aggs = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"null{k}") for k, c in enumerate(cols)]
+    if ends:
+        aggs += [f(c).alias(f"{n}{k}") for k, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]
+    for k, (a, b) in enumerate(pairs):
+        aggs += [F.min((F.col(a) == F.col(b)).cast("int")).alias(f"same{k}")] if same else []
+        aggs += [F.regr_slope(a, b).alias(f"slope{k}")] if slopes else []
+    r = df.agg(*aggs).first() if aggs else None
+    holes = [c for k, c in enumerate(cols) if r[f"null{k}"]]
+    if holes:
+        raise ValueError(f"columns with nulls have no exact representation: {', '.join(holes)}")
+    return r, pairs
+
+
+def _constants(r, cols: list[str]) -> dict[str, int]:
+    return {c: r[f"lo{k}"] for k, c in enumerate(cols) if r[f"lo{k}"] is not None and r[f"lo{k}"] == r[f"hi{k}"]}
+
+
 def constants(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    r = df.agg(*[f(c).alias(f"{c}_{k}") for c in cols for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    return {c: r[f"{c}_lo"] for c in cols if r[f"{c}_lo"] is not None and r[f"{c}_lo"] == r[f"{c}_hi"]}
+    return _constants(_facts(df, cols, ends=True)[0], cols)
 
 
 def duplicates(df: DataFrame, cols: list[str]) -> list[tuple[str, str]]:
     """(target, source) of equal columns, source earlier; all pairs in one pass."""
-    pairs = [(cols[j], cols[i]) for j in range(len(cols)) for i in range(j)]
-    if not pairs:
-        return []
-    r = df.agg(*[F.min((F.col(a) == F.col(b)).cast("int")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).first()
-    return [p for k, p in enumerate(pairs) if r[k] == 1]
+    r, pairs = _facts(df, cols, same=True)
+    return [p for k, p in enumerate(pairs) if r[f"same{k}"] == 1]
 
 
 def affines(df: DataFrame, cols: list[str], stride: int = 1) -> list[Step]:
     """Proven target = (num * source + b) / den for every pair of an earlier source and a later target."""
-    pairs = [(cols[j], cols[i]) for j in range(len(cols)) for i in range(j)]
-    if not pairs:
-        return []
     s = df.filter(F.col("pos") % stride == 0) if stride > 1 else df
-    slopes = s.agg(*[F.regr_slope(a, b).alias(f"s{k}") for k, (a, b) in enumerate(pairs)]).first()
+    r, pairs = _facts(s, cols, slopes=True)
+    return _proven(df, pairs, [r[f"slope{k}"] for k in range(len(pairs))])
+
+
+def _proven(df: DataFrame, pairs: list[tuple[str, str]], slopes: list) -> list[Step]:
     tries = []
-    for k, (a, b) in enumerate(pairs):
-        if slopes[k] is None or slopes[k] == 0:
+    for (a, b), slope in zip(pairs, slopes, strict=True):
+        if slope is None or slope == 0:
             continue
         for d in DENOMINATORS:
-            num = round(slopes[k] * d)
-            if num and abs(slopes[k] * d - num) < 1e-3 * max(1.0, abs(num)):
+            num = round(slope * d)
+            if num and abs(slope * d - num) < 1e-3 * max(1.0, abs(num)):
                 tries.append((a, b, num, d))
                 break
     if not tries:
@@ -78,17 +98,22 @@ def residuals(df: DataFrame, cols: list[str], gain: float = 1.0) -> list[tuple[s
     return out
 
 
-def analyze(df: DataFrame, cols: list[str], protected: frozenset[str] = frozenset(), residual: bool = True) -> list[Step]:
+def analyze(df: DataFrame, cols: list[str], protected: frozenset[str] = PROTECTED, residual: bool = True) -> list[Step]:
     """A plan in the order constants, duplicates and affines, residuals. Sources are earlier columns that
     stay; a residual target is no source of a later residual; protected columns are never targets."""
     plan: list[Step] = []
     gone: set[str] = set()
-    for c, v in constants(df, cols).items():
+    if not cols:
+        return []
+    r, pairs = _facts(df, cols, ends=True, same=True, slopes=True)
+    for c, v in _constants(r, cols).items():
         if c not in protected:
             plan.append(Step("constant", c, None, int(v)))
             gone.add(c)
     rest = [c for c in cols if c not in gone]
-    twins, lines = duplicates(df, rest), affines(df, rest)
+    open_ = [k for k, (a, b) in enumerate(pairs) if a not in gone and b not in gone]
+    twins = [pairs[k] for k in open_ if r[f"same{k}"] == 1]
+    lines = _proven(df, [pairs[k] for k in open_], [r[f"slope{k}"] for k in open_])
     for c in rest:
         if c in protected:
             continue
@@ -151,3 +176,18 @@ def differences_between(a: DataFrame, b: DataFrame, cols: list[str], key: str =
     wrong = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), (~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias("bad")) for c in cols]))
     each = both.select(key, wrong.alias("s"))
     return each.groupBy(F.col("s.col").alias("col")).agg(F.sum(F.col("s.bad").cast("long")).alias("mismatches"), F.min(F.when(F.col("s.bad"), F.col(key))).alias("first_pos"))
+
+
+def coverage(a: DataFrame, b: DataFrame, key: str = "pos") -> DataFrame:
+    """(col, status, mismatches) for each column of a: same, differs or missing in b, and in how many rows."""
+    here = {c.lower() for c in b.columns}
+    cols = [c for c in a.columns if c != key]
+    both = [c for c in cols if c.lower() in here]
+    n = F.when(F.col("mismatches") == 0, "same").otherwise("differs")
+    lost = [F.lit(c) for c in cols if c not in both]
+    gone = a.agg(F.count("*").alias("mismatches")).select(F.explode(F.array(*lost)).alias("col"), "mismatches") if lost else None
+    out = differences_between(a, b, both, key).select("col", n.alias("status"), "mismatches") if both else None
+    if gone is None:
+        return out
+    gone = gone.select("col", F.lit("missing").alias("status"), "mismatches")
+    return out.union(gone) if out is not None else gone

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.exprs import mean_round
+
 AXES = ("x", "y", "z")
 
 
@@ -102,3 +104,71 @@ def normals(df: DataFrame, k: int = 12, up: tuple[float, float, float] = (0.0, 0
     side = sum((F.col(f"n{c}") * F.lit(u) for c, u in zip(AXES, up, strict=True)), F.lit(0.0))
     total = F.col("l0") + F.col("l1") + F.col("l2")
     return e.select("pos", *[F.when(side < 0, -F.col(f"n{c}")).otherwise(F.col(f"n{c}")).alias(f"n{c}") for c in AXES], F.when(total > 0, F.greatest(F.col("l0"), F.lit(0.0)) / total).otherwise(0.0).alias("flat"), F.greatest(F.col("l0"), F.lit(0.0)).alias("l0"))
+
+
+def earlier(df: DataFrame, k: int) -> DataFrame:
+    """(pos, r, npos): of the k nearest points those that come earlier in storage order, numbered from the nearest."""
+    near = knn(df, df, k, same=True).filter("npos < pos")
+    return near.select("pos", F.row_number().over(Window.partitionBy("pos").orderBy("rank")).alias("r"), "npos")
+
+
+def left_over(values: DataFrame, near: DataFrame, cols: list[str], p: int) -> DataFrame:
+    """values (pos, cols) with c_s, what the rounded mean over the first p of near leaves of a column, and c_near, whether there
+    was any; where not, the row of the position before decides, or 0."""
+    there = values.select(F.col("pos").alias("npos"), *[F.col(c).alias(f"n_{c}") for c in cols])
+    means = near.filter(F.col("r") <= p).join(there, "npos").groupBy("pos").agg(*[mean_round(F.sum(f"n_{c}"), F.count("*")).alias(f"m_{c}") for c in cols])
+    before = values.select((F.col("pos") + 1).alias("pos"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    out = values.join(means, "pos", "left").join(before, "pos", "left")
+    new = {f"{c}_s": F.col(c) - F.coalesce(f"m_{c}", f"b_{c}", F.lit(0)) for c in cols} | {f"{c}_near": F.col(f"m_{c}").isNotNull() for c in cols}
+    return out.withColumns(new).drop(*[f"{x}_{c}" for c in cols for x in "mb"])
+
+
+def _legendre(degree: int, t: Column) -> Column:
+    """Legendre polynomial by its recurrence."""
+    a, b = F.lit(1.0), t
+    for n in range(1, degree):
+        a, b = b, ((2 * n + 1) * t * b - n * a) / (n + 1)
+    return b if degree else a
+
+
+def bond_order(df: DataFrame, k: int, degrees: tuple[int, ...]) -> DataFrame:
+    """(pos, q<l>): bond order of each point's k neighbours. The sum over spherical harmonics of degree l is, by their
+    addition theorem, the mean of the Legendre polynomial of the cosines between all pairs of bonds. Neighbours at
+    the point's own place have no direction and are left out."""
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    bonds = neighbourhoods(df, k).withColumn("r", r).filter("r > 0")
+    bonds = bonds.groupBy("pos").agg(F.collect_list(F.struct(*[(F.col(c) / F.col("r")).alias(c) for c in AXES])).alias("u"))
+    dot = lambda p, q: sum((p[c] * q[c] for c in AXES[1:]), p[AXES[0]] * q[AXES[0]])
+    pairs = bonds.withColumn("p", F.explode("u")).withColumn("q", F.explode("u"))
+    t = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("p"), F.col("q"))))
+    return pairs.select("pos", t.alias("t")).groupBy("pos").agg(*[F.sqrt(F.greatest(F.lit(0.0), F.avg(_legendre(l, F.col("t"))))).alias(f"q{l}") for l in degrees])
+
+
+def hexatic(df: DataFrame, k: int = 6, orders: tuple[int, ...] = (4, 6)) -> DataFrame:
+    """(pos, psi<m>): bond-orientational order in the plane of each point's k neighbours, whose normal is that of their
+    covariance; the angles are taken against any two directions of the plane."""
+    near = neighbourhoods(df, k)
+    n = eigen3(near, "pos").select("pos", "nx", "ny", "nz")
+    b = near.select("pos", *AXES).join(n, "pos")
+    flat = F.abs("nx") < 0.9  # a direction that isn't the normal's: x, or y where the normal is near x
+    ux, uy, uz = F.when(flat, 0.0).otherwise(-F.col("nz")), F.when(flat, F.col("nz")).otherwise(0.0), F.when(flat, -F.col("ny")).otherwise(F.col("nx"))
+    b = b.withColumns({"ux": ux, "uy": uy, "uz": uz})
+    size = F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy") + F.col("uz") * F.col("uz"))
+    b = b.withColumns({f"u{c}": F.col(f"u{c}") / size for c in AXES})
+    cross = {"vx": F.col("ny") * F.col("uz") - F.col("nz") * F.col("uy"), "vy": F.col("nz") * F.col("ux") - F.col("nx") * F.col("uz"), "vz": F.col("nx") * F.col("uy") - F.col("ny") * F.col("ux")}
+    b = b.withColumns(cross)
+    along = lambda a: sum((F.col(f"{a}{c}") * F.col(c) for c in AXES[1:]), F.col(f"{a}x") * F.col("x"))
+    b = b.select("pos", F.atan2(along("v"), along("u")).alias("t"))
+    mean = lambda m: F.sqrt(F.pow(F.avg(F.cos(m * F.col("t"))), F.lit(2.0)) + F.pow(F.avg(F.sin(m * F.col("t"))), F.lit(2.0)))
+    return b.groupBy("pos").agg(*[mean(m).alias(f"psi{m}") for m in orders])
+
+
+def plane_distances(left: DataFrame, right: DataFrame, k: int = 12) -> DataFrame:
+    """(pos, d): distance of each point of right from the plane through the k points of left nearest to it."""
+    near = knn(right, left, k)
+    there = left.select(F.col("pos").alias("npos"), *AXES)
+    b = near.join(there, "npos").select("pos", *AXES)
+    centre = b.groupBy("pos").agg(*[F.avg(c).alias(f"m{c}") for c in AXES])
+    both = eigen3(b, "pos").join(centre, "pos").join(right.select("pos", *AXES), "pos")
+    d = sum((F.col(f"n{c}") * (F.col(c) - F.col(f"m{c}")) for c in AXES[1:]), F.col("nx") * (F.col("x") - F.col("mx")))
+    return both.select("pos", F.abs(d).alias("d"))

@@ -59,10 +59,10 @@ CASE WHEN lo = hi THEN 'constant' WHEN h0 <= h1 AND h0 <= 8 * width_bytes THEN '
 @query(PROFILE_SQL, ("pts_li",))
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = O.differences(V.pts_li(spark, sf_dir), COLS)
-    values = H.unpivot(d, {f"{kind}:{c}": c if kind == "0" else f"{c}_d1" for c in COLS for kind in "01"})
-    cells = values.groupBy("col", "v").agg(F.count("*").alias("c"))
+    named = {f"{kind}:{c}": c if kind == "0" else f"{c}_d1" for c in COLS for kind in "01"}
     h = F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")
-    stats = cells.groupBy("col").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n_distinct"), F.round(h, 6).alias("h"))
+    stats = H.counts(d, named).groupBy("k").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n_distinct"), F.round(h, 6).alias("h"))
+    stats = stats.withColumn("col", H.named("k", list(named)))
     name, kind = F.substring_index("col", ":", -1), F.substring_index("col", ":", 1)
     pick = lambda k, c: F.max(F.when(kind == k, F.col(c)))
     out = stats.groupBy(name.alias("col")).agg(pick("0", "n").alias("n"), pick("0", "lo").alias("lo"), pick("0", "hi").alias("hi"), pick("0", "n_distinct").alias("n_distinct"), pick("0", "h").alias("h0"), pick("1", "h").alias("h1"))
@@ -151,10 +151,11 @@ def _median_sql(m: int) -> str:
 
 def _median(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
     li = V.pts_li(spark, sf_dir)
-    parts = [O.mode_residuals(li.select("pos", c), c, [m]).select(F.lit(c).alias("col"), F.col(f"r{m}").alias("v")) for c in GEO]
-    cells = reduce(DataFrame.union, parts).groupBy("col", "v").agg(F.count("*").alias("c"))
+    r = O.all_residuals(li.select("pos", *GEO), GEO, [m])
+    cells = H.counts(r, {c: f"{c}_r{m}" for c in GEO})
     h = F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")
-    return cells.groupBy("col").agg(F.sum("c").alias("n"), F.round(h, 6).alias("h"), F.sum(O.bits("v") * F.col("c")).alias("bits"))
+    out = cells.groupBy("k").agg(F.sum("c").alias("n"), F.round(h, 6).alias("h"), F.sum(O.bits("v") * F.col("c")).alias("bits"))
+    return out.select(H.named("k", GEO).alias("col"), "n", "h", "bits")
 
 
 @query(_median_sql(0), ("pts_li",))
@@ -240,28 +241,37 @@ def value_class_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(k.cast("int").alias("class")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
 
 
+MOST_LEVELS = 4096
+
+
 def _palette(df: DataFrame, c: str) -> DataFrame:
-    """(v, code): the sorted distinct values and their places, for a column of 2 to 4,096 levels."""
-    levels = df.select(F.col(c).alias("v")).distinct().limit(4097)
-    return levels.withColumn("code", F.row_number().over(Window.orderBy("v")) - 1)
+    """(v, code): the sorted distinct values and their places; a column of more than MOST_LEVELS has none."""
+    levels = df.select(F.col(c).alias("v")).distinct().limit(MOST_LEVELS + 1)
+    levels = levels.withColumn("code", F.row_number().over(Window.orderBy("v")) - 1).withColumn("k", F.count("*").over(Window.partitionBy()))
+    return levels.filter(F.col("k") <= MOST_LEVELS).drop("k")
 
 
 @query("""p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT shipday AS v FROM pts_li) WHERE (SELECT count(DISTINCT shipday) FROM pts_li) <= 4096)
 SELECT CAST(code AS INTEGER) AS code, count(*) AS n, min(v) AS v FROM pts_li JOIN p ON v = shipday GROUP BY code""", ("pts_li",))
 def palette_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = V.pts_li(spark, sf_dir)
-    p = _palette(li, "shipday").withColumn("k", F.count("*").over(Window.partitionBy())).filter("k <= 4096")
+    p = _palette(li, "shipday")
     return li.join(F.broadcast(p), F.col("v") == F.col("shipday")).groupBy("code").agg(F.count("*").alias("n"), F.min("v").alias("v"))
 
 
-@query(_union([f"SELECT '{c}' AS col, count(DISTINCT {c}) AS levels, CAST(0 AS BIGINT) AS mismatches, count(*) AS n FROM pts_li" for c in ("y", "z", "shipday")]), ("pts_li",))
+_WIDE = ("y", "z", "shipday", "x")
+
+
+@query(_union([f"SELECT '{c}' AS col, l AS levels, CASE WHEN l <= {MOST_LEVELS} THEN n ELSE 0 END AS coded, CAST(0 AS BIGINT) AS mismatches, n FROM (SELECT count(DISTINCT {c}) AS l, count(*) AS n FROM pts_li)" for c in _WIDE]), ("pts_li",))
 def palette_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns coded by their palettes and restored; every row of a column with too many levels stays as it is."""
     li, out = V.pts_li(spark, sf_dir), None
-    for c in ("y", "z", "shipday"):
+    for c in _WIDE:
         p = _palette(li, c)
-        coded = li.join(F.broadcast(p), F.col("v") == F.col(c)).select(F.col(c).alias("old"), "code")
-        back = coded.join(F.broadcast(p), "code")
-        r = back.agg(F.lit(c).alias("col"), F.countDistinct("code").alias("levels"), F.coalesce(F.sum(F.when(F.col("old") != F.col("v"), 1).otherwise(0)), F.lit(0)).cast("long").alias("mismatches"), F.count("*").alias("n"))
+        coded = li.join(F.broadcast(p), F.col("v").eqNullSafe(F.col(c)), "left").select(F.col(c).alias("old"), "code")
+        back = coded.join(F.broadcast(p), "code", "left").withColumn("new", F.when(F.col("code").isNull(), F.col("old")).otherwise(F.col("v")))
+        wrong = F.sum((~F.col("old").eqNullSafe(F.col("new"))).cast("long"))
+        r = back.agg(F.lit(c).alias("col"), F.countDistinct("old").alias("levels"), F.count("code").alias("coded"), F.coalesce(wrong, F.lit(0)).alias("mismatches"), F.count("*").alias("n"))
         out = r if out is None else out.union(r)
     return out
 
@@ -269,13 +279,18 @@ def palette_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SWEEP = {f"{c}:{k}": f"{_v} - coalesce(lag({_v}) OVER (ORDER BY pos), 0)" for c in GEO for k in range(6) for _v in [c if k == 0 else f"(({c} + {1 << (k - 1)}) >> {k})"]}
 
 
-@query(f"l AS ({long_sql(_SWEEP, 'pts_li')}), h AS ({h_sql('l')}) SELECT split_part(col, ':', 1) AS col, CAST(split_part(col, ':', 2) AS INTEGER) AS dropped, h, round(lag(h) OVER (PARTITION BY split_part(col, ':', 1) ORDER BY CAST(split_part(col, ':', 2) AS INTEGER)) - h, 6) AS marginal FROM h", ("pts_li",))
+def verdict_sql(v: str, steps: tuple, last: str = "strong structure") -> str:
+    return f"CASE WHEN {v} IS NULL THEN NULL {' '.join(f"WHEN {v} > {limit} THEN '{name}'" for limit, name in steps)} ELSE '{last}' END"
+
+
+@query(f"l AS ({long_sql(_SWEEP, 'pts_li')}), h AS ({h_sql('l')}), m AS (SELECT split_part(col, ':', 1) AS col, CAST(split_part(col, ':', 2) AS INTEGER) AS dropped, h, round(lag(h) OVER (PARTITION BY split_part(col, ':', 1) ORDER BY CAST(split_part(col, ':', 2) AS INTEGER)) - h, 6) AS marginal FROM h) SELECT *, {verdict_sql('marginal', E.BIT_VERDICTS)} AS verdict FROM m", ("pts_li",))
 def lsb_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = V.pts_li(spark, sf_dir).select("pos", *[E.drop_bits(F.col(c), k).alias(f"{c}_{k}") for c in GEO for k in range(6)])
     names = [f"{c}_{k}" for c in GEO for k in range(6)]
     h = H.order0(O.differences(li, names), {n: f"{n}_d1" for n in names})
     h = h.select(F.substring_index("col", "_", 1).alias("col"), F.substring_index("col", "_", -1).cast("int").alias("dropped"), "h")
-    return h.withColumn("marginal", F.round(F.lag("h").over(Window.partitionBy("col").orderBy("dropped")) - F.col("h"), 6))
+    m = h.withColumn("marginal", F.round(F.lag("h").over(Window.partitionBy("col").orderBy("dropped")) - F.col("h"), 6))
+    return m.withColumn("verdict", E.verdict(F.col("marginal"), E.BIT_VERDICTS))
 
 
 @query("SELECT CAST(round(x / 0.05) AS BIGINT) AS qx, CAST(round_even(y / 0.05, 0) AS BIGINT) AS qy, count(*) AS n, round(max(abs(x - round(x / 0.05) * 0.05)), 9) AS max_err FROM pts_emb GROUP BY ALL", ("pts_emb",))
@@ -404,13 +419,13 @@ def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SESSION = """g AS (SELECT *, gps - lag(gps) OVER (PARTITION BY sid ORDER BY gps, pos) AS gap FROM scan_ev), r AS (SELECT gap, row_number() OVER (ORDER BY gap) - 1 AS i, count(*) OVER () AS n FROM g WHERE gap > 0),
-t AS (SELECT max(gap) AS med FROM r WHERE i = n // 2), f AS (SELECT g.*, CASE WHEN gap IS NULL OR gap > coalesce(3.0 * med, 200) THEN 1 ELSE 0 END AS flag FROM g, t)"""
+t AS (SELECT max(gap) AS med FROM r WHERE i = n // 2), f AS (SELECT g.*, CASE WHEN gap IS NULL OR gap > coalesce(20.0 * med, 200) THEN 1 ELSE 0 END AS flag FROM g, t)"""
 
 
 @query(f"{_SESSION}, s AS (SELECT *, sum(flag) OVER (PARTITION BY sid ORDER BY gps, pos) AS session FROM f) SELECT sid, CAST(session AS BIGINT) AS session, count(*) AS n, min(gps) AS t0, max(gps) AS t1 FROM s GROUP BY 1, 2", ("scan_ev",))
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions at gaps above three times the upper median gap (the multiplier is a parameter)."""
-    s = O.sessions(V.scan_ev(spark, sf_dir), 3.0)
+    """Sessions at gaps above twenty times the upper median gap."""
+    s = O.sessions(V.scan_ev(spark, sf_dir), O.GAP_FACTOR)
     return s.groupBy("sid", "session").agg(F.count("*").alias("n"), F.min("gps").alias("t0"), F.max("gps").alias("t1"))
 
 

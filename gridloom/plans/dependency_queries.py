@@ -18,6 +18,7 @@ from gridloom.operators import entropy as H
 from gridloom.plans.column_queries import COLS, blen, h_sql, lag, long_sql, med3, zz
 from gridloom.plans.registry import query
 from gridloom.sources import views as V
+from gridloom.sources.store import kept
 
 PLANTED = ["partkey", "suppkey", "linenumber", "k7", "dup", "aff", "res"]
 PVIEWS = ("pts_li", "planted")
@@ -64,14 +65,14 @@ def detect_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_u([f"SELECT '{c}' AS col, CAST(0 AS BIGINT) AS mismatches, CAST(NULL AS BIGINT) AS first_pos FROM (SELECT 1)" for c in PLANTED]))
 def plan_apply_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The discovered plan applied, inverted and compared row by row."""
-    p = V.planted(spark, sf_dir).select("pos", *PLANTED)
+    p = kept(V.planted(spark, sf_dir).select("pos", *PLANTED))
     plan = D.analyze(p, PLANTED)
     return D.differences_between(p, D.invert(D.apply(p, plan), plan), PLANTED)
 
 
 @query()
 def plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.planted(spark, sf_dir).select("pos", *PLANTED)
+    p = kept(V.planted(spark, sf_dir).select("pos", *PLANTED))
     return D.plan_rows(p, D.analyze(p, PLANTED))
 
 

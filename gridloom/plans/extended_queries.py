@@ -19,6 +19,7 @@ from gridloom.plans.dependency_queries import PLANTED, column_gcds
 from gridloom.plans.registry import query
 from gridloom.plans.spatial_queries import knn_sql
 from gridloom.sources import views as V
+from gridloom.sources.store import kept
 
 
 @query("""o AS (SELECT *, row_number() OVER (ORDER BY sid, gps, pos) - 1 AS r, count(*) OVER () AS m FROM scan_ev), s AS (SELECT * FROM o WHERE r >= (m - m // 4) // 2 AND r < (m - m // 4) // 2 + m // 4),
@@ -62,7 +63,7 @@ def real_step(df: DataFrame, col: str, rounds: int = 6) -> float:
     """The step of a column whose distinct values lie near multiples of it: from the median gap by repeated division
     of the gaps by their rounded multiples, then a least-squares polish over all rows."""
     u = V.with_position(df.select(F.col(col).alias("v")).distinct(), "v")
-    gaps = O.with_lags(u, {"p": ("v", 1)}).select((F.col("v") - F.col("p")).alias("g")).filter("g > 1e-9").persist()
+    gaps = kept(O.with_lags(u, {"p": ("v", 1)}).select((F.col("v") - F.col("p")).alias("g")).filter("g > 1e-9"))
     step = gaps.agg(F.min("g")).first()[0]
     for _ in range(rounds):
         k = F.greatest(F.lit(1.0), F.round(F.col("g") / step))
@@ -147,7 +148,7 @@ def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def plan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinate descent over the plan: a step is put back while that makes the total cheaper; three rounds at most."""
-    p = V.planted(spark, sf_dir).select("pos", *PLANTED).persist()
+    p = kept(V.planted(spark, sf_dir).select("pos", *PLANTED))
     plan = D.analyze(p, PLANTED)
 
     def total(steps: list[D.Step]) -> float:

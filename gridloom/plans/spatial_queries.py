@@ -13,9 +13,10 @@ from gridloom.functions import exprs as E
 from gridloom.operators import entropy as H
 from gridloom.operators import ordered as O
 from gridloom.operators import spatial as S
-from gridloom.plans.column_queries import cond_sql, h_sql
+from gridloom.plans.column_queries import cond_sql, h_sql, verdict_sql
 from gridloom.plans.registry import query
 from gridloom.sources import views as V
+from gridloom.sources.store import kept
 
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
@@ -182,7 +183,7 @@ def _shift_sql(s: int) -> str:
     return f"SELECT {s} AS shift, {c[0]} AS a, {c[1]} AS b, {c[2]} AS c FROM pts_li"
 
 
-@query(f"""l AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(_shift_sql(s) for s in range(0, 16, 3))})), o AS (SELECT shift, (a & 1) + 2 * (b & 1) + 4 * (c & 1) AS v FROM l), h AS ({h_sql('o', 'shift')}) SELECT CAST(shift AS INTEGER) AS shift, n AS cells, h FROM h""", ("pts_li",))
+@query(f"""l AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(_shift_sql(s) for s in range(0, 16, 3))})), o AS (SELECT shift, (a & 1) + 2 * (b & 1) + 4 * (c & 1) AS v FROM l), h AS ({h_sql('o', 'shift')}) SELECT CAST(shift AS INTEGER) AS shift, n AS cells, h, {verdict_sql('h', E.LEVEL_VERDICTS)} AS verdict FROM h""", ("pts_li",))
 def regime_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occupied cells and entropy of the child octant for nested cell sizes."""
     li = V.pts_li(spark, sf_dir)
@@ -191,7 +192,8 @@ def regime_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = li.select(F.explode(cells).alias("s")).select("s.*").distinct()
     one = lambda c, w: F.col(c).bitwiseAND(F.lit(1).cast("long")) * w
     o = each.groupBy("shift", (one("a", 1) + one("b", 2) + one("c", 4)).alias("v")).agg(F.count("*").alias("k"))
-    return o.groupBy("shift").agg(F.sum("k").alias("cells"), F.round(F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k"), 6).alias("h"))
+    r = o.groupBy("shift").agg(F.sum("k").alias("cells"), F.round(F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k"), 6).alias("h"))
+    return r.withColumn("verdict", E.verdict(F.col("h"), E.LEVEL_VERDICTS))
 
 
 STEPS = (0.02, 0.05, 0.1, 0.2)
@@ -258,36 +260,45 @@ def surface_leaves_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaf.select("leaf", "n", F.round("l0", 9).alias("l0"), F.round((u + 1) * 127.5).cast("int").alias("u"), F.round((v + 1) * 127.5).cast("int").alias("v"))
 
 
-@query()
-def octant_predictability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of the child octant of occupied cells, and given the side of the plane through the occupied
-    neighbouring cells (six at least) on which each octant lies."""
-    e, size = _emb(spark, sf_dir), 0.1
+def octant_experiment(e: DataFrame, size: float) -> DataFrame:
+    """(cells, coverage, h, h_given, hit): the child octant in which an occupied cell's points first lie, and how much the plane through its
+    occupied neighbouring cells (six at least) tells of it. coverage is the share of cells with such a plane; over those, h and
+    h_given are the octant's entropy and that given the plane's guess, and hit the share of guesses that are right."""
     half = e.select(*[F.floor(F.col(c) / (size / 2)).cast("long").alias(c) for c in "xyz"]).distinct()
     octant = sum((F.col(c).bitwiseAND(F.lit(1).cast("long")) * (1 << i) for i, c in enumerate("xyz")), F.lit(0))
     cells = half.groupBy(*[F.shiftright(c, 1).alias(c) for c in "xyz"]).agg(F.min(octant).alias("octant"))
-    points = cells.select(F.xxhash64("x", "y", "z").alias("pos"), *[(F.col(c) + 0.5).alias(c) for c in "xyz"], "octant")
+    points = kept(cells.select(F.xxhash64("x", "y", "z").alias("pos"), *[(F.col(c) + 0.5).alias(c) for c in "xyz"], "octant"))
     near = S.near_pairs(points, points, 1.0).filter("pos <> npos").select("pos", *[(F.col(f"n{c}") - F.col(c)).alias(c) for c in "xyz"])
     plane = S.eigen3(near, "pos").filter("n >= 6")
     guess = sum((F.when(F.col(f"n{c}") >= 0, 1 << i).otherwise(0) for i, c in enumerate("xyz")), F.lit(0))
-    both = points.join(plane.select("pos", guess.alias("guess")), "pos")
-    return H.conditional(both, {"octant|plane": ("octant", "guess"), "octant": ("octant", F.lit(0))})
+    both = kept(points.join(plane.select("pos", guess.alias("guess")), "pos").select("octant", "guess"))
+    h = H.conditional(both, {"p": ("octant", "guess")}).select("joint", "given", "conditional")
+    plain = H.order0(both, {"o": "octant"}).select("h")
+    n = points.agg(F.count("*").alias("cells"))
+    hits = both.agg(F.count("*").alias("m"), F.avg((F.col("octant") == F.col("guess")).cast("double")).alias("hit"))
+    out = n.join(hits).join(h, how="left", on=F.lit(True)).join(plain, how="left", on=F.lit(True))  # single rows
+    return out.select("cells", F.round(F.try_divide(F.col("m"), F.col("cells")), 6).alias("coverage"), "h", F.col("conditional").alias("h_given"), F.round("hit", 6).alias("hit"))
+
+
+@query()
+def octant_predictability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return octant_experiment(_emb(spark, sf_dir), 0.1)
 
 
 @query()
 def hexatic_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean bond-orientational order of degree 4 and 6 in the plane of six neighbours."""
-    e = _emb(spark, sf_dir)
-    near = S.neighbourhoods(e, 6)
+    each = S.hexatic(_emb(spark, sf_dir))
+    return each.agg(F.count("*").alias("n"), *[F.round(F.avg(f"psi{m}"), 6).alias(f"psi{m}") for m in (4, 6)])
 
-    def order(p: pd.DataFrame) -> pd.DataFrame:
-        a = p[["x", "y", "z"]].to_numpy()
-        _, v = np.linalg.eigh(a.T @ a)
-        t = np.arctan2(a @ v[:, 1], a @ v[:, 2])
-        return pd.DataFrame({"pos": p["pos"].iloc[:1], **{f"psi{m}": [abs(np.exp(1j * m * t).mean())] for m in (4, 6)}})
 
-    each = near.groupBy("pos").applyInPandas(order, "pos long, psi4 double, psi6 double")
-    return each.agg(F.count("*").alias("n"), *[F.round(F.avg(f"psi{m}"), 6).alias(f"psi{m}") for m in (4, 6)])
+@query()
+def plane_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of one survey's points from the other's local planes."""
+    a, b = _halves(spark, sf_dir)
+    d = kept(S.plane_distances(a, b))
+    p95 = O.order_statistic(d, "d", 0.95)
+    return d.agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 6).alias("rms"), F.round(F.lit(p95).cast("double"), 6).alias("p95"), F.round(F.max("d"), 6).alias("worst"))
 
 
 @query()

@@ -74,7 +74,7 @@ def normal_estimation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session's fitted line against plain differences."""
-    s = O.sessions(V.scan_ev(spark, sf_dir), 3.0).withColumn("t", (F.col("gps") / 1_000_000).cast("double"))
+    s = O.sessions(V.scan_ev(spark, sf_dir), O.GAP_FACTOR).withColumn("t", (F.col("gps") / 1_000_000).cast("double"))
     s = s.withColumn("k", F.length("cls").cast("long"))
     f = C.sweep_fits(s.select("pos", "sid", "session", "t", "val", "k"), ["sid", "session"], "t", "val", "k")
     return f.agg(F.count("*").alias("sweeps"), F.sum("n").alias("n"), F.sum(F.col("two_lines").cast("long")).alias("split"), F.sum(F.col("fitted").cast("long")).alias("fitted"), F.sum("delta_bits").alias("delta_bits"), F.sum(F.least("delta_bits", "line_bits")).alias("bits"))
@@ -114,10 +114,12 @@ def continuation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(cont.alias("cont")).agg(F.count("*").alias("n"), F.sum(O.bits("x_d1")).alias("bits"))
 
 
-@query(f"l AS (SELECT 'r' AS col, y - z AS v FROM pts_li UNION ALL SELECT 'g', z - (tax + ((y - tax) >> 1)) FROM pts_li UNION ALL SELECT 'b', tax FROM pts_li) {h_sql('l')}", ("pts_li",))
+@query(f"""c AS (SELECT y AS r, z AS g, tax AS b, y - tax AS co, tax + ((y - tax) >> 1) AS t FROM pts_li), d AS (SELECT t + ((g - t) >> 1) AS luma, co, g - t AS cg, r, g, b FROM c),
+l AS (SELECT 'y' AS col, luma AS v FROM d UNION ALL SELECT 'co', co FROM d UNION ALL SELECT 'cg', cg FROM d UNION ALL SELECT 'r', r FROM d UNION ALL SELECT 'g', g FROM d UNION ALL SELECT 'b', b FROM d) {h_sql('l')}""", ("pts_li",))
 def colour_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    co = F.col("y") - F.col("tax")
-    return H.order0(V.pts_li(spark, sf_dir), {"r": F.col("y") - F.col("z"), "g": F.col("z") - (F.col("tax") + F.shiftright(co, 1)), "b": F.col("tax")})
+    """Entropy of three colour columns as they stand and after the reversible colour transform."""
+    luma, co, cg = E.ycocg(F.col("y"), F.col("z"), F.col("tax"))
+    return H.order0(V.pts_li(spark, sf_dir), {"y": luma, "co": co, "cg": cg, "r": "y", "g": "z", "b": "tax"})
 
 
 @query("""o AS (SELECT pos, CAST(round(x / 0.001) AS BIGINT) AS k, x FROM pts_emb) SELECT count(*) AS n, round(max(abs(CAST(CAST(k * 0.001 AS FLOAT) AS DOUBLE) - x)), 9) AS max_err FROM o""", ("pts_emb",))

@@ -88,6 +88,8 @@ def _proven(df: DataFrame, pairs: list[tuple[str, str]], slopes: list) -> list[S
 
 def residuals(df: DataFrame, cols: list[str], gain: float = 1.0) -> list[tuple[str, str, float, float]]:
     """(target, source, h, h of the difference) where the best earlier source saves `gain` bits a row."""
+    if len(cols) < 2:
+        return []
     names = {c: F.col(c) for c in cols} | {f"{cols[j]}-{cols[i]}": F.col(cols[j]) - F.col(cols[i]) for j in range(len(cols)) for i in range(j)}
     h = {r["col"]: r["h"] for r in order0(df, names).collect()}
     out = []

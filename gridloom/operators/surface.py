@@ -106,14 +106,29 @@ def zero_crossings(sdf: DataFrame, voxel: float) -> DataFrame:
     return out
 
 
-def local_feature_size(df: DataFrame, surface: DataFrame, most_rows: int = 200_000, rounds: int = 60, separation: float = 32.0) -> DataFrame:
-    """(pos, lfs) by shrinking balls: df has pos, x, y, z and normals nx, ny, nz; balls touch a point along its
-    normal and shrink until no surface point is inside. The surface is broadcast and must have at most most_rows."""
-    rows = surface.select(*AXES).limit(most_rows + 1).toPandas().to_numpy(float)
-    if len(rows) > most_rows:
-        raise ValueError("the surface is too large; thin it first")
+def thinned(df: DataFrame, most: int) -> DataFrame:
+    """x, y, z of df, or, if it has more than `most` rows, the centres of gravity of its voxels, whose edge doubles until at
+    most that many are left; a point then stands for all within one voxel's diagonal."""
+    p = df.select(*AXES)
+    n, *ends = p.agg(F.count("*"), *[f(c) for c in AXES for f in (F.min, F.max)]).first()
+    if n <= most:
+        return p
+    edge = max(max(ends[2 * k + 1] - ends[2 * k] for k in range(3)), 1e-12) / most**0.5
+    while True:
+        cells = p.groupBy(*[F.floor(F.col(c) / edge).alias(f"i{c}") for c in AXES]).agg(*[F.avg(c).alias(c) for c in AXES]).select(*AXES)
+        if cells.count() <= most:
+            return cells
+        edge *= 2
+
+
+def local_feature_size(df: DataFrame, surface: DataFrame, most_rows: int = 20_000, separation: float = 32.0) -> DataFrame:
+    """(pos, lfs): df has pos, x, y, z and normals nx, ny, nz. A ball that touches a point along its normal m is free of a
+    surface point at v from it if its radius is at most |v|^2 / (2 v.m); lfs is the least of these radii on either side, over
+    surface points that the ball's centre sees at `separation` degrees or more from the point (closer ones are noise
+    of the surface). Without any it is the surface's extent. The surface is broadcast, thinned() to most_rows at most."""
+    rows = thinned(surface, most_rows).toPandas().to_numpy(float)
     shared = df.sparkSession.sparkContext.broadcast(rows)
-    least = math.cos(math.radians(separation))
+    least = math.sin(math.radians(separation) / 2)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
@@ -121,27 +136,13 @@ def local_feature_size(df: DataFrame, surface: DataFrame, most_rows: int = 200_0
         for p in it:
             x, n = p[list(AXES)].to_numpy(float), p[[f"n{c}" for c in AXES]].to_numpy(float)
             best = np.full(len(x), span)
-            for i in range(len(x) if len(s) else 0):
-                for sign in (1.0, -1.0):
-                    r, m = span, n[i] * sign
-                    for turn in range(rounds):
-                        d2 = ((s - (x[i] + m * r)) ** 2).sum(1)
-                        d2[((s - x[i]) ** 2).sum(1) < 1e-18] = np.inf
-                        j = int(d2.argmin())
-                        if d2[j] >= (r * (1 - 1e-9)) ** 2:
-                            break
-                        v = s[j] - x[i]
-                        below = 2 * float(v @ m)
-                        new = float(v @ v) / below if below > 0 else r
-                        c = x[i] + m * new
-                        a, b = x[i] - c, s[j] - c
-                        cos = float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-30)
-                        if turn and cos > least:
-                            break
-                        if new >= r:
-                            break
-                        r = new
-                    best[i] = min(best[i], r)
+            for at in range(0, len(x) if len(s) else 0, 64):
+                a, m = x[at : at + 64], n[at : at + 64]
+                d2 = ((s[None] - a[:, None]) ** 2).sum(2)
+                along = np.abs(m @ s.T - (a * m).sum(1)[:, None])  # either side
+                seen = (d2 > 1e-18) & (along >= least * np.sqrt(d2))
+                r = np.where(seen, d2 / np.where(seen, 2 * along, 1), span)
+                best[at : at + 64] = np.minimum(r.min(1), span)
             yield pd.DataFrame({"pos": p["pos"], "lfs": best})
 
     return df.select("pos", *AXES, *[f"n{c}" for c in AXES]).mapInPandas(run, "pos long, lfs double")

@@ -163,21 +163,23 @@ def codec_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.choice(C.costs(V.pts_li(spark, sf_dir), CHOSEN))
 
 
-@query("SELECT col, n, CAST(0 AS BIGINT) AS mismatches FROM (SELECT 'x' AS col, count(*) AS n FROM lineitem UNION ALL SELECT 'z', count(*) FROM lineitem)")
+@query(_u([f"SELECT '{c}' AS col, '{k}' AS codec, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM lineitem" for c in ("x", "z") for k in C.STREAMS]))
 def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns coded to bytes block by block, decoded and compared."""
-    li = V.pts_li(spark, sf_dir).select("pos", "x", "z")
-    back = C.restored(C.streams(li, ["x", "z"], 8192))
+    """Columns coded to bytes block by block under every codec, decoded and compared."""
+    li = kept(V.pts_li(spark, sf_dir).select("pos", "x", "z"))
     old = li.select("pos", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("o")) for c in ("x", "z")])).alias("s")).select("pos", "s.*")
-    both = old.join(back, ["col", "pos"], "full_outer")
-    return both.groupBy("col").agg(F.count("o").alias("n"), F.sum((~F.col("o").eqNullSafe(F.col("v"))).cast("long")).alias("mismatches"))
+    parts = []
+    for codec in C.STREAMS:
+        both = old.join(C.restored(C.streams(li, ["x", "z"], 8192, codec)), ["col", "pos"], "full_outer")
+        parts.append(both.groupBy("col").agg(F.lit(codec).alias("codec"), F.count("o").alias("n"), F.sum((~F.col("o").eqNullSafe(F.col("v"))).cast("long")).alias("mismatches")))
+    return reduce(DataFrame.union, parts)
 
 
 @query()
 def stream_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of the coded streams by column."""
-    s = C.streams(V.pts_li(spark, sf_dir), ["x", "y", "z", "linenumber"], 65_536)
-    return s.groupBy("col").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
+    """Bytes of the coded streams by column, under the codec that costs it least."""
+    s = C.best_streams(kept(V.pts_li(spark, sf_dir).select("pos", "x", "y", "z", "linenumber")), ["x", "y", "z", "linenumber"], 65_536)
+    return s.groupBy("col", "codec").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
 
 
 @query("""a AS (SELECT y, z, count(*) AS c FROM pts_li GROUP BY ALL), b AS (SELECT y, z, count(*) AS c FROM pts_li WHERE pos % 2 = 0 GROUP BY ALL)

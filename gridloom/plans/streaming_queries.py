@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.registry import query
 from gridloom.sources import views as V
+from gridloom.sources.store import shared_folder
 from gridloom.streaming.sessions import stream_profile, stream_sessions
 
 
@@ -19,11 +20,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(df: DataFrame) -> DataFrame:
-    """All rows of a stream in append mode over what is there now."""
-    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """The rows of a streaming aggregate over what is there now. Complete mode: windows that no watermark has closed count too.
+    Each batch replaces the table of the one before in the shared folder; nothing passes the driver."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = df.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows"))
+    out.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type AS cls, count(*) AS n, CAST(min(round(value * 100)) AS BIGINT) AS lo, CAST(max(round(value * 100)) AS BIGINT) AS hi FROM events GROUP BY ALL".replace("time_bucket(INTERVAL '1 day', ts) AS start", "CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS day"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.exprs import world
 from gridloom.sources.views import with_position
 
 #: Scalar property types of PLY headers and their numpy codes (fixed values of the format).
@@ -178,17 +179,17 @@ def _fields(kind: str, content: bytes) -> list[T.StructField]:
     return [T.StructField(n, _wide(c)) for n, c in names] + [T.StructField("bit_fields", T.LongType())]
 
 
-def read_points(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """All points below path (a file, folder or pattern): file, pos and the fields of the first file, which the
-    others must share. pos is dense over the files in the order of their names."""
+def read_points(spark: SparkSession, path: str, kind: str | None = None, most: int | None = None) -> DataFrame:
+    """All points below path (a file, folder or pattern), or the first `most`: file, pos and the fields of the first file, which
+    the others must share. pos is dense over the files in the order of their names."""
     kind = kind or path.rsplit(".", 1)[-1].lower()
     if kind not in PARSERS:
         raise ValueError(f"no reader for .{kind}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path)
-    first = files.select("path", "content").orderBy("path").limit(1).collect()
-    if not first:
+    name = files.agg(F.min("path")).first()[0]  # names alone: contents aren't read for it
+    if name is None:
         raise ValueError(f"no .{kind} file at {path}")
-    fields = _fields(kind, bytes(first[0]["content"]))
+    fields = _fields(kind, bytes(files.filter(F.col("path") == name).select("content").first()[0]))
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("at", T.LongType()), *fields])
     names = [f.name for f in fields]
 
@@ -202,7 +203,33 @@ def read_points(spark: SparkSession, path: str, kind: str | None = None) -> Data
                 for a in range(0, n, 100_000):
                     yield pd.DataFrame({"file": name, "at": np.arange(a, min(n, a + 100_000)), **{k: v[a : a + 100_000] for k, v in cols.items()}})
 
-    return with_position(files.select("path", "content").mapInPandas(decode, schema), "file", "at").drop("at")
+    out = with_position(files.select("path", "content").mapInPandas(decode, schema), "file", "at").drop("at")
+    return out if most is None else out.filter(F.col("pos") < most)
+
+
+def read_block(spark: SparkSession, path: str, start: int, count: int, kind: str | None = None, step: float = 0.001) -> DataFrame:
+    """Rows start to start + count of the points below path. csv files hold x, y and z first in a line and their
+    coordinates come as whole multiples of step; lines without three numbers are an error."""
+    kind = kind or path.rsplit(".", 1)[-1].lower()
+    if kind != "csv":
+        return read_points(spark, path, kind, start + count).filter(F.col("pos") >= start)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.split("value", ",").alias("w"))
+    xyz = [F.expr(f"cast(trim(w[{k}]) as double)") for k in range(3)]
+    rows = with_position(lines.filter("size(w) > 1").select("file", "at", *[F.round(v / step).cast("long").alias(c) for c, v in zip("XYZ", xyz, strict=True)]), "file", "at")
+    return rows.drop("at").filter((F.col("pos") >= start) & (F.col("pos") < start + count))
+
+
+def coordinates(spark: SparkSession, path: str, kind: str | None = None, most: int | None = None) -> tuple[DataFrame, int]:
+    """(pos, x, y, z) of any format in world coordinates, and the bytes of a coordinate in the file (0 for scaled integers)."""
+    kind = kind or path.rsplit(".", 1)[-1].lower()
+    df = read_points(spark, path, kind, most)
+    names = {c.lower(): c for c in df.columns}
+    x, y, z = (F.col(names[c]) for c in "xyz")
+    if kind != "las":
+        return df.select("pos", x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z")), 8 if dict(df.dtypes)[names["x"]] == "double" else 4
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path)
+    h = las_header(bytes(files.filter(F.col("path") == files.agg(F.min("path")).first()[0]).select("content").first()[0]))
+    return df.select("pos", *[v.alias(c) for c, v in zip("xyz", world("int", x, y, z, h["scale"], h["offset"]), strict=True)]), 0
 
 
 def vlr_table(spark: SparkSession, path: str) -> DataFrame:
@@ -306,9 +333,19 @@ def sphere(spark: SparkSession, radius: float, n: int, noise: float = 0.0, seed:
 LOG_FIELDS = ("name", "cond", "n", "dup_key", "dup_pt", "gpcc", "laz", "geom3", "scan1", "tot_geom3", "tot_scan1", "genc", "gdec", "gpeak", "lenc", "ldec", "penc", "pdec", "ppeak", "ver")
 
 
+def _log_cells(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.split(F.trim("value"), r"\s+").alias("w"))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): lines that read_log() leaves out, but for blank ones."""
+    n = F.expr(f"try_cast(w[{LOG_FIELDS.index('n')}] as bigint)")
+    return _log_cells(spark, path).filter((F.trim("value") != "") & ((F.size("w") != len(LOG_FIELDS)) | n.isNull())).select("value")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The white-space separated log of an order study as rows; lines of other lengths are skipped."""
-    cells = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w")).filter(F.size("w") == len(LOG_FIELDS))
+    """The white-space separated log of an order study as rows. Lines of other lengths are left out here; bad_lines() has them."""
+    cells = _log_cells(spark, path).filter(F.size("w") == len(LOG_FIELDS))
     kinds = {"name": "string", "cond": "string", "ver": "string", "n": "bigint", "dup_pt": "bigint"}
     cast = lambda k, n: F.expr(f"try_cast(w[{k}] as {kinds.get(n, 'double')})").alias(n)
     return cells.select(*[cast(k, n) for k, n in enumerate(LOG_FIELDS)]).filter("n is not null")

@@ -32,8 +32,9 @@ def with_position(df: DataFrame, *keys: str, name: str = "pos", block: int = RAN
     cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     parts = min(max(4 * cores, -(-n // block)), MOST_RANGES)
     every = max(1, n // (parts * PER_RANGE))
-    drawn = sorted(tuple(r) for r in df.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0).collect())
-    cuts = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)} if drawn else set())
+    nulls_first = lambda row: [(v is not None, v) for v in row]
+    drawn = sorted((tuple(r) for r in df.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0).collect()), key=nulls_first)
+    cuts = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)} if drawn else set(), key=nulls_first)
     dealt = df.withColumn("_r", _place(df, keys, cuts))
     sizes = sorted(tuple(r) for r in dealt.groupBy("_r").count().collect())
     starts, total = [0] * (len(cuts) + 1), 0
@@ -54,17 +55,18 @@ def _place(df: DataFrame, keys: tuple[str, ...], cuts: list[tuple]) -> Column:
         values, own = [F.struct(*[lit(v, f) for v, f in zip(c, schema, strict=True)]) for c in cuts], F.struct(*keys)
     else:
         values, own = [lit(c[0], schema[0]) for c in cuts], F.col(keys[0])
+    below = lambda v: F.coalesce(own < v, F.lit(True))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(own < values[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(below(values[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     if len(cuts) < 256:
         return tree(0, len(cuts))
     table = F.array(*values)
-    step = lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.when(own < F.element_at(table, _middle(acc) + 1), F.struct(acc["lo"].alias("lo"), _middle(acc).alias("hi"))).otherwise(F.struct((_middle(acc) + 1).alias("lo"), acc["hi"].alias("hi"))))
+    step = lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.when(below(F.element_at(table, _middle(acc) + 1)), F.struct(acc["lo"].alias("lo"), _middle(acc).alias("hi"))).otherwise(F.struct((_middle(acc) + 1).alias("lo"), acc["hi"].alias("hi"))))
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), start, step, lambda acc: acc["lo"])
 

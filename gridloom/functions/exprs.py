@@ -196,6 +196,26 @@ def mean_round(total: Column, count: Column) -> Column:
     return F.when(total >= 0, F.floor((2 * total + count) / (2 * count))).otherwise(-F.floor((-2 * total + count) / (2 * count))).cast(LONG)
 
 
+def octahedral(nx: Column, ny: Column, nz: Column, levels: int = 255) -> tuple[Column, Column]:
+    """A unit vector as two integers from 0 to levels, on the unfolded octahedron."""
+    s = F.abs(nx) + F.abs(ny) + F.abs(nz)
+    ox, oy = nx / s, ny / s
+    sign = lambda c: F.when(c >= 0, 1.0).otherwise(-1.0)
+    u = F.when(nz >= 0, ox).otherwise((1 - F.abs(oy)) * sign(ox))
+    v = F.when(nz >= 0, oy).otherwise((1 - F.abs(ox)) * sign(oy))
+    return tuple(F.floor((x + 1) * (levels / 2) + 0.5).cast("int") for x in (u, v))
+
+
+def from_octahedral(u: Column, v: Column, levels: int = 255) -> tuple[Column, Column, Column]:
+    """The unit vector in the middle of a code's cell."""
+    x, y = u * F.lit(2.0 / levels) - 1, v * F.lit(2.0 / levels) - 1
+    z = 1 - F.abs(x) - F.abs(y)
+    sign = lambda c: F.when(c >= 0, 1.0).otherwise(-1.0)
+    a, b = F.when(z >= 0, x).otherwise((1 - F.abs(y)) * sign(x)), F.when(z >= 0, y).otherwise((1 - F.abs(x)) * sign(y))
+    r = F.sqrt(a * a + b * b + z * z)
+    return a / r, b / r, z / r
+
+
 #: Shares of a dropped bit that is saved, above which the bit was noise, mostly noise or structure (fixed values).
 BIT_VERDICTS = ((0.92, "noise"), (0.70, "mostly noise"), (0.40, "structure"))
 #: Bits a level of an octree, above which the level is noise, sampling or structure (fixed values).

@@ -6,6 +6,8 @@ sample, but only an exact proof over all rows in integer arithmetic accepts them
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -167,6 +169,17 @@ def _rebuilt(s: Step) -> Column:
     return F.expr(f"cast((cast(`{s.source}` as {WIDE}) * {s.num} + {s.b}) div {s.den} as bigint)")
 
 
+def plan_bytes(plan: list[Step], packed: bool = True) -> bytes:
+    """The plan as JSON, packed by deflate or as it stands."""
+    text = json.dumps([asdict(s) for s in plan], separators=(",", ":")).encode()
+    return zlib.compress(text, 9) if packed else text
+
+
+def plan_from(data: bytes) -> list[Step]:
+    """The plan of plan_bytes(), packed or not."""
+    return [Step(**s) for s in json.loads(data if data[:1] == b"[" else zlib.decompress(data))]
+
+
 def plan_rows(df: DataFrame, plan: list[Step]) -> DataFrame:
     rows = [(k, *asdict(s).values()) for k, s in enumerate(plan)]
     return df.sparkSession.createDataFrame(rows, "seq int, kind string, target string, source string, value long, num long, den long, b long")

@@ -15,6 +15,14 @@ def principal(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(np.arctan2(v[1, 1], v[0, 1])), float(np.sqrt(max(w[0], 0.0)))
 
 
+def thinness(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, n, spread, thinness): deviation along and across the principal axis of each group's points, from the closed
+    form of the eigenvalues of their covariance."""
+    m = df.groupBy(*by).agg(F.count("*").alias("n"), F.var_pop(x).alias("a"), F.var_pop(y).alias("b"), F.covar_pop(x, y).alias("c"))
+    mid, half = (F.col("a") + F.col("b")) / 2, F.sqrt(F.pow((F.col("a") - F.col("b")) / 2, F.lit(2.0)) + F.col("c") * F.col("c"))
+    return m.select(*by, "n", F.sqrt(mid + half).alias("spread"), F.sqrt(F.greatest(mid - half, F.lit(0.0))).alias("thinness"))
+
+
 def split_lines(x: np.ndarray, y: np.ndarray, rounds: int = 12, least: int = 10) -> np.ndarray:
     """0 or 1 for each point: an EM split into two straight lines that starts from alternate points and stops
     once nothing moves, after `rounds` rounds or when a side would have fewer than `least` points."""

@@ -185,3 +185,17 @@ def noise_budget(df: DataFrame, k: int = 12) -> float:
 
 def spacing(df: DataFrame) -> DataFrame:
     return knn(df, df, 1, same=True).select(F.sqrt("d2").alias("d"))
+
+
+def tightened(df: DataFrame, cols: list[str], eps: float, kind: str = "float", rounds: int = 6) -> tuple[float, float, int]:
+    """(step, worst, turns): the grid step, from the widest that eps allows, at which values come back within eps after they are
+    rounded to the output's type; each turn takes off what the last one missed by, `rounds` turns at most. Values that the
+    type itself can't hold within eps are an error."""
+    step, worst = 2 * eps / len(cols) ** 0.5, 0.0
+    for turn in range(rounds + 1):
+        err = sum((F.pow((F.round(F.col(c) / step) * step).cast(kind).cast("double") - F.col(c), F.lit(2.0)) for c in cols[1:]), F.pow((F.round(F.col(cols[0]) / step) * step).cast(kind).cast("double") - F.col(cols[0]), F.lit(2.0)))
+        worst = float(df.agg(F.coalesce(F.max(F.sqrt(err)), F.lit(0.0))).first()[0])
+        if worst <= eps:
+            return step, worst, turn
+        step *= max(0.1, 0.999 * (2 - worst / eps))
+    raise ValueError(f"the output type can't keep an error of {eps}")

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import exprs as E
+from gridloom.operators import codecs as C
 from gridloom.operators import entropy as H
 from gridloom.operators import ordered as O
+from gridloom.operators import scan
 from gridloom.operators import spatial as S
 from gridloom.plans.column_queries import GEO, blen, cond_sql, h_sql, lag, long_sql, med3, modes_sql, spread_sql, zz
 from gridloom.plans.dependency_queries import column_gcds
@@ -422,3 +424,70 @@ def rotated_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = O.differences(p, ["x", "y", "u", "v"])
     both = lambda c, e: O.bits(f"{c}_d1") + O.bits(f"{e}_d1")
     return d.agg(F.lit(round(a, 6)).alias("angle"), F.sum(both("x", "y")).alias("base_bits"), F.sum(both("u", "v")).alias("turned_bits"), F.sum("bad").alias("mismatches"))
+
+
+_OCT = """n AS (SELECT x / r AS x, y / r AS y, z / r AS z FROM (SELECT *, sqrt(x*x + y*y + z*z) AS r FROM pts_emb) WHERE r > 0), o AS (SELECT *, abs(x) + abs(y) + abs(z) AS s FROM n),
+f AS (SELECT x, y, z, CASE WHEN z >= 0 THEN x / s ELSE (1 - abs(y / s)) * CASE WHEN x / s >= 0 THEN 1 ELSE -1 END END AS u, CASE WHEN z >= 0 THEN y / s ELSE (1 - abs(x / s)) * CASE WHEN y / s >= 0 THEN 1 ELSE -1 END END AS v FROM o),
+q AS (SELECT x, y, z, CAST(floor((u + 1) * 127.5 + 0.5) AS INTEGER) AS u, CAST(floor((v + 1) * 127.5 + 0.5) AS INTEGER) AS v FROM f),
+d AS (SELECT *, u * (2.0::DOUBLE / 255) - 1 AS a, v * (2.0::DOUBLE / 255) - 1 AS b FROM q), g AS (SELECT *, 1 - abs(a) - abs(b) AS c FROM d),
+h AS (SELECT x, y, z, u, v, c, CASE WHEN c >= 0 THEN a ELSE (1 - abs(b)) * CASE WHEN a >= 0 THEN 1 ELSE -1 END END AS p, CASE WHEN c >= 0 THEN b ELSE (1 - abs(a)) * CASE WHEN b >= 0 THEN 1 ELSE -1 END END AS q FROM g),
+w AS (SELECT u, v, sqrt(power(p / l - x, 2) + power(q / l - y, 2) + power(c / l - z, 2)) AS err FROM (SELECT *, sqrt(p*p + q*q + c*c) AS l FROM h))"""
+
+
+@query(_OCT + " SELECT count(*) AS n, CAST(sum(u * 256 + v) AS BIGINT) AS total, round(max(err), 6) AS worst, round(avg(err), 6) AS mean FROM w", ("pts_emb",))
+def normal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions in two bytes each, and how far they come back from where they were."""
+    e = V.pts_emb(spark, sf_dir)
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    n = e.withColumn("r", r).filter("r > 0").select(*[(F.col(c) / F.col("r")).alias(c) for c in "xyz"])
+    u, v = E.octahedral(F.col("x"), F.col("y"), F.col("z"))
+    n = n.withColumns({"u": u, "v": v})
+    back = E.from_octahedral(F.col("u"), F.col("v"))
+    err = F.sqrt(sum((F.pow(b - F.col(c), F.lit(2.0)) for b, c in zip(back, "xyz", strict=True)), F.lit(0.0)))
+    return n.agg(F.count("*").alias("n"), F.sum(F.col("u") * 256 + F.col("v")).alias("total"), F.round(F.max(err), 6).alias("worst"), F.round(F.avg(err), 6).alias("mean"))
+
+
+@query("""m AS (SELECT sid, count(*) AS n, var_pop(gps / 1000000.0::DOUBLE) AS a, var_pop(val / 100.0::DOUBLE) AS b, covar_pop(gps / 1000000.0::DOUBLE, val / 100.0::DOUBLE) AS c FROM scan_ev GROUP BY sid), e AS (SELECT sid, n, (a + b) / 2 AS mid, sqrt(power((a - b) / 2, 2) + c * c) AS half FROM m)
+SELECT count(*) AS sources, CAST(sum(n) AS BIGINT) AS n, round(avg(sqrt(mid + half)), 1) AS spread, round(avg(sqrt(greatest(mid - half, 0))), 1) AS thinness FROM e""", ("scan_ev",))
+def line_thinness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean deviation along and across the principal axis of each source's times and values."""
+    e = V.scan_ev(spark, sf_dir).select("sid", (F.col("gps") / 1_000_000).alias("t"), (F.col("val") / 100).alias("v"))
+    t = scan.thinness(e, ["sid"], "t", "v")
+    return t.agg(F.count("*").alias("sources"), F.sum("n").alias("n"), F.round(F.avg("spread"), 1).alias("spread"), F.round(F.avg("thinness"), 1).alias("thinness"))
+
+
+@query()
+def smallest_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shorter of a column's own streams and of its bytes under a general-purpose compressor, which is kept as it is where it wins."""
+    cols = ["x", "y", "z", "shipday"]
+    li = kept(V.pts_li(spark, sf_dir).select("pos", *cols))
+    own = C.best_streams(li, cols).groupBy("col").agg(F.sum(F.octet_length("data")).alias("bytes")).select("col", F.lit("streams").alias("form"), "bytes")
+    forms = own.union(proxy_sizes(li, cols).select("col", F.col("codec").alias("form"), "bytes"))
+    return forms.groupBy("col").agg(F.min(F.struct("bytes", "form")).alias("m")).select("col", "m.form", "m.bytes")
+
+
+@query()
+def float_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of the sign, the exponent, and the high and low halves of the mantissa of a float column."""
+    @F.pandas_udf("long")
+    def raw(s: pd.Series) -> pd.Series:
+        return pd.Series(s.to_numpy(np.float32).view(np.uint32).astype(np.int64))
+
+    v = V.read(spark, sf_dir, "embeddings").select(raw(F.col("embedding")[0]).alias("v"))
+    part = lambda shift, bits: F.shiftright("v", shift).bitwiseAND(F.lit((1 << bits) - 1))
+    return H.order0(v, {"sign": part(31, 1), "exponent": part(23, 8), "mantissa_high": part(12, 11), "mantissa_low": part(0, 12)}).withColumnRenamed("col", "part")
+
+
+def report(rows: list, columns: list[str]) -> str:
+    """Rows as a Markdown table."""
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    return "\n".join(["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns), *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]])
+
+
+def bit_report(spark: SparkSession, sf_dir: str) -> str:
+    """Profile, costs and dependencies of the fact table as one Markdown text."""
+    from gridloom.plans.column_queries import column_profile
+    from gridloom.plans.dependency_queries import codec_choice, plan_report
+
+    parts = {"Columns": column_profile(spark, sf_dir).orderBy("field_pos"), "Representations": codec_choice(spark, sf_dir).orderBy("col"), "Dependencies": plan_report(spark, sf_dir).orderBy("seq")}
+    return "\n\n".join(f"## {name}\n\n{report([tuple(r) for r in df.collect()], df.columns)}" for name, df in parts.items())

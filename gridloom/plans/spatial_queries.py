@@ -252,12 +252,8 @@ def surface_leaves_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _emb(spark, sf_dir)
     key = F.xxhash64(*[E.cell(F.col(c), 0.2) for c in "xyz"])
     leaf = S.eigen3(e.withColumn("leaf", key), "leaf").filter("n >= 4")
-    s = F.abs("nx") + F.abs("ny") + F.abs("nz")
-    ox, oy = F.col("nx") / s, F.col("ny") / s
-    sign = lambda c: F.when(c >= 0, 1.0).otherwise(-1.0)
-    u = F.when(F.col("nz") >= 0, ox).otherwise((1 - F.abs(oy)) * sign(ox))
-    v = F.when(F.col("nz") >= 0, oy).otherwise((1 - F.abs(ox)) * sign(oy))
-    return leaf.select("leaf", "n", F.round("l0", 9).alias("l0"), F.round((u + 1) * 127.5).cast("int").alias("u"), F.round((v + 1) * 127.5).cast("int").alias("v"))
+    u, v = E.octahedral(F.col("nx"), F.col("ny"), F.col("nz"))
+    return leaf.select("leaf", "n", F.round("l0", 9).alias("l0"), u.alias("u"), v.alias("v"))
 
 
 def octant_experiment(e: DataFrame, size: float) -> DataFrame:

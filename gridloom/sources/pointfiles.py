@@ -143,6 +143,12 @@ def las_header(content: bytes) -> dict:
                 else:
                     width = data[k + 3] if kind == 0 else np.dtype(EXTRA_TYPES[(kind - 1) % 10 + 1]).itemsize * ((kind - 1) // 10 + 1)
                     named += [(f"{name}#{j}", "u1") for j in range(width)]
+    if minor == 4 and size >= 375:
+        at, extended = struct.unpack_from("<QI", content, 235)
+        for _ in range(extended if at else 0):
+            user, (record, n) = content[at + 2 : at + 18].rstrip(b"\0").decode("latin1"), struct.unpack_from("<HQ", content, at + 18)
+            meta.append((user, record, content[at + 28 : at + 60].rstrip(b"\0").decode("latin1"), content[at + 60 : at + 60 + n]))
+            at += 60 + n
     used = np.dtype(named).itemsize if named else 0
     if used > extra:
         named, used = [], 0
@@ -261,10 +267,38 @@ def ply_bytes(p: pd.DataFrame, kind: str = "binary_little_endian") -> bytes:
     return head + raw.tobytes()
 
 
-def las_bytes(p: pd.DataFrame, fmt: int = 1, scale: tuple = (0.01,) * 3, offset: tuple = (0.0,) * 3, keep: frozenset[str] | None = None) -> bytes:
-    """A LAS 1.2 file (1.4 from format 6 on). Columns outside keep are written as 0; the counts by return number and
+#: Codes of extra-byte types by numpy code (fixed values, the inverse of EXTRA_TYPES).
+EXTRA_CODES = {v: k for k, v in EXTRA_TYPES.items()}
+
+
+def extra_descriptor(fields: list[tuple[str, str]]) -> bytes:
+    """The 192-byte records that describe extra bytes: (name, numpy code) for each field. Names of over 32 bytes are an error."""
+    out = bytearray()
+    for name, code in fields:
+        raw = name.encode("latin1")
+        if len(raw) > 32 or code not in EXTRA_CODES:
+            raise ValueError(f"{name}: {code} can't be described")
+        record = bytearray(192)
+        record[2] = EXTRA_CODES[code]
+        record[4 : 4 + len(raw)] = raw
+        out += record
+    return bytes(out)
+
+
+def vlr_bytes(user: str, record: int, description: str, data: bytes, extended: bool = False) -> bytes:
+    """A variable-length record, or an extended one, whose length has eight bytes."""
+    if len(data) > 65_535 and not extended:
+        raise ValueError("a record of over 65,535 bytes must be extended")
+    head = struct.pack("<H16sH" + ("Q" if extended else "H") + "32s", 0, user.encode("latin1"), record, len(data), description.encode("latin1"))
+    return head + data
+
+
+def las_bytes(p: pd.DataFrame, fmt: int = 1, scale: tuple = (0.01,) * 3, offset: tuple = (0.0,) * 3, keep: frozenset[str] | None = None, extra: list[tuple[str, str]] = (), vlrs: list[tuple] = (), evlrs: list[tuple] = ()) -> bytes:
+    """A LAS 1.2 file (1.4 from format 6 on) with extra fields (name, numpy code) and records (user, number, description,
+    data), extended ones behind the points. Columns outside keep are written as 0, extra ones left out; the counts by return number and
     the bounding box are recounted from the rows."""
-    fields = las_record(fmt)
+    extra = [(n, c) for n, c in extra if keep is None or n in keep]
+    fields = las_record(fmt) + extra
     raw = np.zeros(len(p), np.dtype(fields))
     for n, _ in fields:
         if n in p.columns and (keep is None or n in keep):
@@ -278,10 +312,15 @@ def las_bytes(p: pd.DataFrame, fmt: int = 1, scale: tuple = (0.01,) * 3, offset:
         raw["flags"] = (bits >> 10 & 15) | (bits >> 14 & 3) << 4 | (bits >> 8 & 1) << 6 | (bits >> 9 & 1) << 7
     new = fmt >= 6
     size, slots = (375, 15) if new else (227, 5)
+    if evlrs and not new:
+        raise ValueError("extended records need a format of 6 or more")
+    records = [vlr_bytes("LASF_Spec", 4, "extra bytes", extra_descriptor(extra))] if extra else []
+    records += [vlr_bytes(*v) for v in vlrs]
+    begin = size + sum(map(len, records))
     counts = np.bincount(np.clip(bits & 15, 0, 16), minlength=17)[1 : slots + 1]
     head = bytearray(size)
     head[:4], head[24], head[25] = b"LASF", 1, 4 if new else 2
-    struct.pack_into("<HIIBHI", head, 94, size, size, 0, fmt, raw.dtype.itemsize, 0 if new else len(p))
+    struct.pack_into("<HIIBHI", head, 94, size, begin, len(records), fmt, raw.dtype.itemsize, 0 if new else len(p))
     if not new:
         struct.pack_into("<5I", head, 111, *counts.tolist())
     struct.pack_into("<6d", head, 131, *scale, *offset)
@@ -289,7 +328,9 @@ def las_bytes(p: pd.DataFrame, fmt: int = 1, scale: tuple = (0.01,) * 3, offset:
     struct.pack_into("<6d", head, 179, *map(float, box))
     if new:
         struct.pack_into("<Q15Q", head, 247, len(p), *counts.tolist())
-    return bytes(head) + raw.tobytes()
+        if evlrs:
+            struct.pack_into("<QI", head, 235, begin + raw.nbytes, len(evlrs))
+    return b"".join([bytes(head), *records, raw.tobytes(), *[vlr_bytes(*v, extended=True) for v in evlrs]])
 
 
 def encoded_files(df: DataFrame, encode: Callable[[pd.DataFrame], bytes], order: str = "pos", by: str = "file") -> DataFrame:

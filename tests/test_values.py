@@ -241,3 +241,45 @@ def test_container_of_every_codec(spark, tmp_path):
     container.write_container(df, str(tmp_path / "c"), 256)
     back = container.read_container(spark, str(tmp_path / "c"))
     assert D.coverage(df, back).filter("status <> 'same'").count() == 0
+
+
+def test_extra_bytes_and_records_of_las_files(spark, tmp_path):
+    p = pd.DataFrame({"X": [1, 2, 3], "Y": [4, 5, 6], "Z": [7, 8, 9], "amp": [0.5, -1.0, 2.5], "echo": [3, 200, 65_000]})
+    extra = [("amp", "f8"), ("echo", "u2")]
+    raw = P.las_bytes(p, 6, extra=[(n, next(c for c in P.EXTRA_CODES if c.endswith(k))) for n, k in extra], vlrs=[("me", 7, "words", b"abc")], evlrs=[("far", 9, "long", b"z" * 70_000)])
+    (tmp_path / "a.las").write_bytes(raw)
+    got = P.read_points(spark, str(tmp_path / "a.las")).orderBy("pos").collect()
+    assert [(r.X, r.amp, r.echo) for r in got] == list(zip(p["X"], p["amp"], p["echo"], strict=True))
+    rows = {(r.user_id, r.record_id): bytes(r.data) for r in P.vlr_table(spark, str(tmp_path)).collect()}
+    assert rows[("me", 7)] == b"abc" and rows[("far", 9)] == b"z" * 70_000 and len(rows[("LASF_Spec", 4)]) == 384
+    with pytest.raises(ValueError, match="described"):
+        P.extra_descriptor([("x" * 40, "f8")])
+
+
+@pytest.mark.parametrize("values", [[], [0], [127, 128, 2**64 - 1, 300, 0, 2**63]])
+def test_varints(values):
+    from gridloom.functions.coder import from_varints, varints
+
+    data = varints(np.array(values, np.uint64))
+    assert from_varints(data).tolist() == values
+    with pytest.raises(ValueError):
+        from_varints(data + b"\x80")
+
+
+def test_plans_as_bytes():
+    plan = [D.Step("affine", "a", "b", 0, 3, 2, -5), D.Step("constant", "c", None, 2**62)]
+    assert D.plan_from(D.plan_bytes(plan)) == D.plan_from(D.plan_bytes(plan, False)) == plan
+
+
+def test_steps_are_tightened_to_the_output_type(spark):
+    df = spark.createDataFrame([(1000.0 + k * 0.0137, -500.0 + k * 0.0071) for k in range(500)], "x double, y double")
+    step, worst, turns = G.tightened(df, ["x", "y"], 0.001)
+    assert worst <= 0.001 and step > 0.0005 and turns <= 6
+    with pytest.raises(ValueError, match="output type"):
+        G.tightened(df, ["x", "y"], 1e-9)
+
+
+def test_reports(spark, sf_dir):
+    text = codec_queries.bit_report(spark, sf_dir)
+    assert text.count("## ") == 3 and "| shipday |" in text
+    assert codec_queries.report([(1, None, "a|b")], ["x", "y", "z"]) == "| x | y | z |\n|-|-|-|\n| 1 |  | a\\|b |"

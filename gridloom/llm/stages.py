@@ -10,7 +10,7 @@ from gridloom.llm.neardup import copies
 from gridloom.llm.packing import packed
 from gridloom.llm.secrets import redacted
 from gridloom.llm.toxicity import toxicity
-from gridloom.llm.workspace import stored, table
+from gridloom.llm.workspace import fresh, stored, table
 
 #: Keys of rows to drop are broadcast up to this many.
 BROADCAST_KEYS = 500_000
@@ -22,8 +22,16 @@ def _without(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic. It learns from the labelled rows among docs."""
-    return toxicity(docs, table(spark, sf_dir, "labels"), "toxicity_").filter("toxicity_predicted = 0").select(docs.columns)
+    """Documents that the classifier doesn't call toxic. It learns from the labelled rows among docs.
+
+    Only texts go to the classifier and only the checksums of rejected texts come back; a text's score depends on nothing else."""
+    text = F.col("text").cast("string")
+    sums = (F.xxhash64(text), F.crc32(text.cast("binary")), F.octet_length(text))
+    names = [fresh(docs, f"toxic_{k}") for k in range(len(sums))]
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    judged = toxicity(docs.select("doc_id", lang.alias("lang"), text.alias("text")), table(spark, sf_dir, "labels"))
+    bad = judged.filter("predicted = 1").select(*[c.alias(n) for c, n in zip(sums, names, strict=True)])
+    return _without(docs.withColumns(dict(zip(names, sums, strict=True))), bad, names).select(docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +44,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         return out
     ids = F.broadcast(twice) if twice.count() <= BROADCAST_KEYS else twice
     again = out.join(ids, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "doc_id"]))
+    # maps have no order of their own
+    order = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes if c != "doc_id"]
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*order))
     again = again.select(*docs.columns, first.alias("row_in_group_")).filter("row_in_group_ = 1").select(docs.columns)
     return out.join(ids, "doc_id", "left_anti").select(docs.columns).union(again)
 
@@ -61,4 +71,4 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents packed into sequences."""
-    return packed(docs).drop("ids")
+    return stored(packed(docs).drop("ids"), "sequences")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 GRAM = 0xC2B2AE3D27D4EB4F | 1
 

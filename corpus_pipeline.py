@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import stages
-from gridloom.llm.workspace import stored, table
+from gridloom.llm.workspace import discard, keep, scope, stored, table
 
 STAGES = [
     ("toxicity", stages.clean),
@@ -20,9 +20,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's result is a table in the shared folder; what it needed on the way, and the
+    result of the stage before, go as soon as it stands."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scope(spark):
+            docs = keep(stored(stage(spark, before, sf_dir), f"stage-{name}"))
+        discard(before)
     return docs
 
 

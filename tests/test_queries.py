@@ -36,7 +36,7 @@ def test_query(spark, sf_dir, db, name):
     assert plain(got) == plain([tuple(x[i] for i in at) for x in r.fetchall()])
 
 
-@pytest.mark.parametrize("name", ["column_profile", "lsb_sweep", "gap_sessions", "morton_gain", "codec_cost_table", "knn"])
+@pytest.mark.parametrize("name", ["column_profile", "lsb_sweep", "gap_sessions", "morton_gain", "codec_cost_table", "knn", "delta_orders", "geometry_v3", "scan_order"])
 def test_results_do_not_depend_on_partitions(spark, sf_dir, name):
     seen = []
     old = spark.conf.get("spark.sql.shuffle.partitions")

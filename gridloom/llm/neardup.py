@@ -12,10 +12,12 @@ deviations below what similarity 0.75 gives, so a true pair is missed with proba
 runs twice: short sketches leave the classes that can have a partner at all, and those get longer
 sketches, which decide more sharply.
 
-Lists aren't expanded into all pairs. First each member of a list meets the list's smallest member
-only; confirmed links make components. Pairs of later rounds are those between different components,
-so a group of copies of any size costs rows in proportion to its size once it is connected. What is joined with the
-lists is a table by then, not an aggregate in the same stage, so adaptive execution can split a list of any length.
+Lists aren't expanded into all pairs. In a round each member of a list meets one member of it only, another one in each round;
+confirmed links make components, and lists within one component are done. Rounds go on while the candidate pairs between
+components, estimated on so many of the lists as keeps this cheap, are more than an eighth of the rows that the lists had at first and links are
+still found; only then are all the pairs that are left compared.
+So a group of copies of any size costs rows in proportion to its size. What is joined with the lists is a table by
+then, not an aggregate in the same stage, so adaptive execution can split a list of any length.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ WIDTH = 5
 #: Ids are broadcast to the scan of the texts up to this many (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
+#: Candidate pairs for each row that the lists had at first, up to which all that are left are compared at once, and the most
+#: rounds before that.
+PAIRS_PER_ROW = 0.125
+ROUNDS = 10
+
 SKETCH = "doc_id long, h long, n long, d1 long, d2 long, sk binary"
 
 
@@ -154,13 +161,23 @@ def _labelled(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     """The lists with each class's component; lists within one component are done and go."""
     if comp is None:
         return lists.withColumn("c", F.col("doc_id"))
-    named = lists.join(comp.select(F.col("u").alias("doc_id"), F.col("v").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    named = stored(named, "components")
-    mixed = stored(named.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v"), "mixed")
-    return named.join(mixed, "v").select("v", "doc_id", "n", "need", "room", "c")
+    every = lists.drop("c").join(comp.select(F.col("u").alias("doc_id"), F.col("v").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    every = stored(every, "components")
+    mixed = stored(every.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v"), "mixed")
+    named = stored(every.join(mixed, "v").select("v", "doc_id", "n", "need", "room", "c"), "named")
+    discard(every, mixed)
+    return named
+
+
+def _amount(named: DataFrame) -> tuple[int, int]:
+    """Rows of the lists, and pairs of members of one list in different components."""
+    each = named.groupBy("v", "c").agg(F.count("*").alias("k")).groupBy("v").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    m = F.col("m").cast("double")
+    r = each.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((m * m - F.col("own")) / 2), F.lit(0.0))).first()
+    return int(r[0]), int(r[1])
 
 
-def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K, long: int = K_LONG, width: int = WIDTH, stars: int = 2) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K, long: int = K_LONG, width: int = WIDTH, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) between classes, and the classes: (class, d1, d2, n, id, h), where id and h name the
     smallest member."""
     full = made.filter("n > 0 and doc_id is not null")
@@ -178,26 +195,39 @@ def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K
     shown = F.floor(similarity / (1 + similarity) * (1 + F.least("na", "nb") / F.greatest("na", "nb")) * long - 6 * math.sqrt(long * similarity * (1 - similarity)))
     overlap = F.when(F.greatest("na", "nb") <= long, exact).otherwise(F.greatest("need_a", "need_b", shown))
     meet = _alike("na", "nb", similarity) & (F.col("ca") != F.col("cb")) & (F.least("room_a", "room_b") >= overlap)
-    edges, comp = None, None
-    # the tables of a round go when its links are known
-    for turn in range(stars + 1):
-        named = stored(_labelled(lists, comp), "named")
-        y = named.select("v", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"), F.col("room").alias("room_b"), F.col("c").alias("cb"))
-        if turn < stars:
+    edges, comp, found_any, most = None, None, True, 0
+    side = lambda t, k: t.select("v", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("need").alias(f"need_{k}"), F.col("room").alias(f"room_{k}"), F.col("c").alias(f"c{k}"))
+    for turn in range(rounds + 1):
+        named = _labelled(lists, comp)
+        rows, upper = _amount(named)
+        if turn == 0:
+            most = PAIRS_PER_ROW * rows
+        last = turn == rounds or not found_any or upper <= most
+        if turn and not last:
+            share = math.ceil(4 * upper / max(most, 1))
+            some = named.filter(F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(share)) == 0)
+            seen = side(some, "a").join(side(some, "b"), "v").filter(meet & F.expr("a < b")).count()
+            last = share * seen <= most and not some.isEmpty()
+        y, heads = side(named, "b"), None
+        if not last:
             order = F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("c", "doc_id", F.lit(turn))).alias("first"), "doc_id", "n", "need", "room", "c")
-            x = stored(named.groupBy("v").agg(F.min(order).alias("h")).select("v", "h.*").drop("first"), "heads")
-        else:
-            x = named
-        x = x.select("v", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("need").alias("need_a"), F.col("room").alias("room_a"), F.col("c").alias("ca"))
-        pairs = x.join(y, "v").filter(meet if turn < stars else meet & F.expr("a < b")).select("a", "b").distinct()
+            heads = stored(named.groupBy("v").agg(F.min(order).alias("h")).select("v", "h.*").drop("first"), "heads")
+        x = side(named if last else heads, "a")
+        pairs = x.join(y, "v").filter(meet & F.expr("a < b") if last else meet).select("a", "b").distinct()
         likely = found = stored(_likely(pairs, classes, similarity, long), "likely")
-        if turn < stars:
+        if not last:
             found = found.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
         sure = verified(found, texts, keys, similarity, width).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        discard(named, likely)
+        discard(heads, likely)
         edges = sure if edges is None else edges.union(sure)
-        if turn < stars:
+        if last:
+            break
+        found_any = not sure.isEmpty()
+        if found_any:
             comp = components(edges)
+        if turn:
+            discard(lists)
+            lists = named  # what is done is gone for good
     return edges, member
 
 

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from gridloom.llm import langid, packing, secrets, sharding, stages, toxicity
+from gridloom.llm import langid, neardup, packing, secrets, sharding, stages, toxicity
 from tests.llm import cases
 
 DOC = "doc_id long, text string"
@@ -193,3 +193,21 @@ def test_sharding_subdivides_overfull_ranges(spark, monkeypatch):
 def test_duplicate_rows_with_a_map(spark, sf_dir):
     df = spark.sql("select 1L as doc_id, 'one two three four five six' as text, map('a', 1) as m union all select 1L, 'one two three four five six', map('b', 2) union all select 2L, 'x', map('c', 3)")
     assert sorted(r.doc_id for r in stages.deduplicated(spark, df, sf_dir).collect()) == [1, 2]
+
+
+def test_near_duplicates_over_many_rounds(spark, monkeypatch):
+    rng = random.Random(40)
+    data, base = [], [f"b{k}" for k in range(60)]
+    for k in range(50):  # copies of one text with a few changes each, so that many pairs are just alike and many just not
+        w = list(base)
+        for j in rng.sample(range(60), rng.randrange(3)):
+            w[j] = f"n{k}_{j}"
+        data.append((900 - k, " ".join(w), None, None, None, None, None, None))
+    want = cases.components(data)
+    assert 1 < len(set(want.values())) < 50
+    rounds = []
+    real = neardup._labelled
+    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(neardup, "_labelled", lambda lists, comp: rounds.append(comp) or real(lists, comp))
+    got = neardup.near_duplicates(cases.table(spark, data)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(rounds) > 2

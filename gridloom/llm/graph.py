@@ -8,34 +8,28 @@ from pyspark.sql import functions as F
 from gridloom.llm.workspace import discard, stored
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), low
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    low = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct(), low
+    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v): each node that has an edge and is not the smallest of its component, with that
     smallest node. Alternates large and small stars until nothing changes; each round is a table in
-    the shared folder. The least neighbours are tables too: beside a table, unlike beside an
-    aggregate, adaptive execution can split the rows of a node that has a great part of all edges.
-    Rows with nulls and self links are ignored."""
+    the shared folder. Rows with nulls and self links are ignored."""
     now = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        large, low = _large_star(now)
-        large = stored(large, "large")
-        small, least = _small_star(large)
-        after = stored(small, "stars")
-        discard(now, low, large, least)
-        now = after
+        before, now = now, stored(_small_star(_large_star(now)), "stars")
+        discard(before)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == seen:
             return now

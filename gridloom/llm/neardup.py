@@ -14,7 +14,7 @@ sketches, which decide more sharply.
 
 Lists aren't expanded into all pairs. In a round each member of a list meets one member of it only, another one in each round;
 confirmed links make components, and lists within one component are done. Rounds go on while the candidate pairs between
-components, estimated on so many of the lists as keeps this cheap, are more than an eighth of the rows that the lists had at first and links are
+components, estimated from a sample of members, are more than an eighth of the rows that the lists had at first and links are
 still found; only then are all the pairs that are left compared.
 So a group of copies of any size costs rows in proportion to its size. What is joined with the lists is a table by
 then, not an aggregate in the same stage, so adaptive execution can split a list of any length.
@@ -43,6 +43,8 @@ BROADCAST_IDS = 1_000_000
 #: Candidate pairs for each row that the lists had at first, up to which all that are left are compared at once, and the most
 #: rounds before that.
 PAIRS_PER_ROW = 0.125
+#: The number is estimated from one in SAMPLED members, or counted where the lists can't hold more pairs than this.
+EXACT_PAIRS, SAMPLED = 100_000, 256
 ROUNDS = 10
 
 SKETCH = "doc_id long, h long, n long, d1 long, d2 long, sk binary"
@@ -204,10 +206,11 @@ def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K
             most = PAIRS_PER_ROW * rows
         last = turn == rounds or not found_any or upper <= most
         if turn and not last:
-            share = math.ceil(4 * upper / max(most, 1))
-            some = named.filter(F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(share)) == 0)
-            seen = side(some, "a").join(side(some, "b"), "v").filter(meet & F.expr("a < b")).count()
-            last = share * seen <= most and not some.isEmpty()
+            # pairs of a few members with all others in their lists; lists differ too much for a sample of lists
+            share = 1 if upper <= EXACT_PAIRS else SAMPLED
+            some = named.filter(F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(share)) == 0)
+            seen = side(some, "a").join(side(named, "b"), "v").filter(meet).count()
+            last = share * seen / 2 <= most and (share == 1 or not some.isEmpty())
         y, heads = side(named, "b"), None
         if not last:
             order = F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("c", "doc_id", F.lit(turn))).alias("first"), "doc_id", "n", "need", "room", "c")

@@ -2,7 +2,8 @@
 
 Every document's word shingles get one hash function; the k smallest values are its sketch.
 Inverted lists of the retained values propose pairs, an estimate from the union of two sketches
-filters them, and the exact Jaccard similarity of the full shingle sets decides.
+filters them, and the exact Jaccard similarity of the full shingle sets decides: at once where both sketches hold the
+whole sets, else from the texts.
 
 Texts with equal shingle sets are one class from the start, with a number of its own: classes are compared, and
 only components are led back to documents, so a doc_id may stand on any number of texts. Values are ordered by how many
@@ -12,7 +13,8 @@ deviations below what similarity 0.75 gives, so a true pair is missed with proba
 runs twice: short sketches leave the classes that can have a partner at all, and those get longer
 sketches, which decide more sharply.
 
-Lists aren't expanded into all pairs. In a round each member of a list meets one member of it only, another one in each round;
+Lists aren't expanded into all pairs. In a round each member of a list meets one member of it only, another one in each round; in
+the first round that of a long list is the one that shares most with others;
 confirmed links make components, and lists within one component are done. Rounds go on while the candidate pairs between
 components, estimated from a sample of members, are more than an eighth of the rows that the lists had at first and links are
 still found; only then are all the pairs that are left compared.
@@ -46,6 +48,10 @@ PAIRS_PER_ROW = 0.125
 #: The number is estimated from one in SAMPLED members, or counted where the lists can't hold more pairs than this.
 EXACT_PAIRS, SAMPLED = 100_000, 256
 ROUNDS = 10
+#: Pairs of a class whose texts are compared in such a round, the likeliest first; pairs of whole sets need no texts.
+BEST = 8
+#: Lists from this length on are met first by the member amid the others; in shorter ones any member does.
+LONG_LIST = 64
 
 SKETCH = "doc_id long, h long, n long, d1 long, d2 long, sk binary"
 
@@ -110,27 +116,32 @@ def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float, k: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch doesn't rule the similarity out, with the estimate; sketches that
-    hold both whole sets give it exactly."""
-    low = max(0.0, _floor(similarity, k))
+    """Pairs (a, b) whose union sketch doesn't rule the similarity out, with the estimate. Sketches that
+    hold both whole sets decide as verified() does, and the pair is sure."""
+    low, percent = max(0.0, _floor(similarity, k)), round(100 * similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            est, ok = [], []
+            est, ok, sure = [], [], []
             for na, x, nb, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                union = np.union1d(x, y)
                 common = np.intersect1d(x, y, assume_unique=True)
-                size = min(k, len(union)) if max(na, nb) > k else len(union)
-                bound = union[size - 1]
-                est.append(float((common <= bound).sum()) / size)
-                ok.append(est[-1] >= (low if max(na, nb) > k else similarity - 1e-9))
-            e, ok = np.array(est, float), pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(e).filter(ok)], names=["a", "b", "est"])
+                sure.append(max(na, nb) <= k)
+                if sure[-1]:
+                    union = len(x) + len(y) - len(common)
+                    est.append(len(common) / max(union, 1))
+                    ok.append(len(common) > 0 and 100 * len(common) >= percent * union)
+                else:
+                    union = np.union1d(x, y)
+                    size = min(k, len(union))
+                    est.append(float((common <= union[size - 1]).sum()) / size)
+                    ok.append(est[-1] >= low)
+            est, ok, sure = np.array(est, float), pa.array(ok, pa.bool_()), pa.array(sure, pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.filter(ok) for x in (b.column(0), b.column(1), pa.array(est), sure)], names=["a", "b", "est", "sure"])
 
     left = classes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sk").alias("ka"))
     right = classes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("kb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, "a long, b long, est double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ka", "nb", "kb").mapInArrow(run, "a long, b long, est double, sure boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, keys: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -213,15 +224,26 @@ def links(docs: DataFrame, made: DataFrame, similarity: float = 0.75, k: int = K
             last = share * seen / 2 <= most and (share == 1 or not some.isEmpty())
         y, heads = side(named, "b"), None
         if not last:
-            order = F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("c", "doc_id", F.lit(turn))).alias("first"), "doc_id", "n", "need", "room", "c")
-            heads = stored(named.groupBy("v").agg(F.min(order).alias("h")).select("v", "h.*").drop("first"), "heads")
+            cells = ["doc_id", "n", "need", "room", "c"]
+            first = F.min(F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("c", "doc_id", F.lit(turn))).alias("first"), *cells))
+            if turn == 0:
+                # what has most of the commoner values lies amid its likes, and most of them are linked with it
+                amid = F.min(F.struct((-F.col("room") / F.least("n", F.lit(long))).alias("first"), *cells))
+                pick = F.when(F.count("*") >= LONG_LIST, F.struct(*[amid[c].alias(c) for c in cells])).otherwise(F.struct(*[first[c].alias(c) for c in cells]))
+            else:
+                pick = F.struct(*[first[c].alias(c) for c in cells])
+            heads = stored(named.groupBy("v").agg(pick.alias("h")).select("v", "h.*"), "heads")
         x = side(named if last else heads, "a")
         pairs = x.join(y, "v").filter(meet & F.expr("a < b") if last else meet).select("a", "b").distinct()
-        likely = found = stored(_likely(pairs, classes, similarity, long), "likely")
-        if not last:
-            found = found.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
-        sure = verified(found, texts, keys, similarity, width).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        discard(heads, likely)
+        likely = stored(_likely(pairs, classes, similarity, long), "likely")
+        sure, open_ = likely.filter("sure"), likely.filter("not sure")
+        if not open_.isEmpty():
+            if not last:
+                best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("est"), "a"))
+                open_ = open_.withColumn("best", best).filter(F.col("best") <= BEST)
+            sure = sure.select("a", "b").union(verified(open_, texts, keys, similarity, width))
+        sure = sure.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        discard(heads)
         edges = sure if edges is None else edges.union(sure)
         if last:
             break
@@ -242,10 +264,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, k: int = K, long:
     are pooled. Rows with a null doc_id are returned with a null component and kept."""
     made = stored(sketches(_hashed(docs), k, width), "sketches")
     edges, member = links(docs, made, similarity, k, long, width)
-    ids = member.select("class", "id")
-    near = edges.join(ids.toDF("u", "a"), "u").join(ids.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    same = made.filter("n > 0 and doc_id is not null").join(member.drop("h"), ["d1", "d2", "n"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    comp = components(near.union(same))
+    rows = made.filter("n > 0 and doc_id is not null")
+    twice = stored(rows.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        # the classes of one doc_id's texts are linked with the first of them
+        own = stored(rows.join(twice, "doc_id").join(member.select("class", "d1", "d2", "n"), ["d1", "d2", "n"]).select("doc_id", "class").distinct(), "own")
+        edges = edges.union(own.join(own.groupBy("doc_id").agg(F.min("class").alias("u")), "doc_id").select("u", F.col("class").alias("v")).filter("u <> v"))
+    group = member.join(components(edges).toDF("class", "c"), "class", "left").withColumn("c", F.coalesce("c", "class"))
+    group = group.join(group.groupBy("c").agg(F.min("id").alias("least")), "c")
+    same = rows.join(stored(group.select("d1", "d2", "n", "least"), "groups"), ["d1", "d2", "n"])
+    comp = same.select(F.col("doc_id").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
     out = made.select("doc_id", F.col("n").alias("n_shingles")).join(comp.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from gridloom.llm import langid, neardup, packing, secrets, sharding, stages, toxicity
+from gridloom.llm import graph, langid, neardup, packing, secrets, sharding, stages, toxicity
 from tests.llm import cases
 
 DOC = "doc_id long, text string"
@@ -211,3 +211,28 @@ def test_near_duplicates_over_many_rounds(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_labelled", lambda lists, comp: rounds.append(comp) or real(lists, comp))
     got = neardup.near_duplicates(cases.table(spark, data)).collect()
     assert {r.doc_id: r.component_id for r in got} == want and len(rounds) > 2
+
+
+def test_a_large_group_of_near_copies_takes_two_rounds(spark, monkeypatch):
+    rng = random.Random(41)
+    data, base = [], [f"b{k}" for k in range(60)]
+    for k in range(200):
+        w = list(base)
+        for j in rng.sample(range(60), rng.randrange(4)):
+            w[j] = f"n{k}_{j}"
+        data.append((9000 - k, " ".join(w), None, None, None, None, None, None))
+    rounds = []
+    real = neardup._labelled
+    monkeypatch.setattr(neardup, "_labelled", lambda lists, comp: rounds.append(comp) or real(lists, comp))
+    got = neardup.near_duplicates(cases.table(spark, data)).collect()
+    assert {r.doc_id: r.component_id for r in got} == cases.components(data) and len(rounds) == 2
+
+
+def test_short_and_long_edge_tables_have_equal_components(spark, monkeypatch):
+    rng = random.Random(42)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(5, 5), (None, 3), (-7, 299)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    short = sorted(map(tuple, graph.components(df).collect()))
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    assert short and short == sorted(map(tuple, graph.components(df).collect()))
+    assert graph.components(df.limit(0)).count() == 0

@@ -4,11 +4,14 @@ import collections
 import math
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.llm import graph, langid, neardup, packing, secrets, sharding, stages, toxicity
+from gridloom.llm import graph, langid, neardup, packing, secrets, sharding, stages, toxicity, workspace
 from tests.llm import cases
 
 DOC = "doc_id long, text string"
@@ -169,6 +172,31 @@ def test_training_adds_to_the_weights_from_which_it_starts():
     assert right(30, 400) > right(0, 0) + 0.15
 
 
+def test_training_leaves_the_driver_room(monkeypatch):
+    rng = random.Random(37)
+    words = [f"w{k}" for k in range(30000)]
+    texts = [" ".join(rng.choices(words, k=170)) for _ in range(6000)]
+    monkeypatch.setattr(toxicity, "STEPS", 0)
+    tracemalloc.start()
+    toxicity.train(texts, np.arange(6000) % 2, [f"l{k % 8}" for k in range(6000)], epochs=0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 95e6  # 108 MB with whole tables beside their copies
+
+
+def test_tables_leave_few_shuffles_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "SETTLE_SECONDS", 0, raising=False)
+    monkeypatch.setattr(workspace, "SETTLE_SHARE", 0, raising=False)
+    shuffles = lambda: set(map(str, spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keySet())))
+    before = shuffles()
+    for k in range(3):
+        workspace.stored(spark.range(1000).groupBy((F.col("id") % 97 + k).alias("g")).count(), "counted")
+    until = time.time() + 20
+    while len(shuffles() - before) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(shuffles() - before) <= 1  # the last one's job may still be told of when the driver settles
+
+
 def test_sharding_subdivides_overfull_ranges(spark, monkeypatch):
     rng = random.Random(36)
     hot = "the same text"
